@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from sieveloom.llm import quality
+from sieveloom.llm import quality, toxicity
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark, sf_dir):
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op3_quality": op3_quality}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality}
 ORACLE = {}
