@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveloom.llm import quality, toxicity
+from sieveloom.llm import bpe, quality, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -17,5 +17,11 @@ def op3_quality(spark, sf_dir):
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality}
+def op9_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op9_bpe": op9_bpe}
 ORACLE = {}
