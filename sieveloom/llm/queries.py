@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveloom.llm import bpe, neardup, quality, substring, toxicity
+from sieveloom.llm import bpe, licenses, neardup, quality, substring, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -25,11 +25,15 @@ def op6_substring(spark, sf_dir):
     return substring.removed(_read(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark, sf_dir):
+    return licenses.scan(_read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_substring": op6_substring, "op9_bpe": op9_bpe}
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_substring": op6_substring, "op5_licenses": op5_licenses, "op9_bpe": op9_bpe}
 ORACLE = {}
