@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sieveloom.llm import bpe, licenses, neardup, quality, substring, toxicity
+from sieveloom.llm import bpe, embdup, licenses, neardup, quality, substring, toxicity, urls
 
 
 def _read(spark, sf_dir, name):
@@ -35,5 +35,13 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_substring": op6_substring, "op5_licenses": op5_licenses, "op9_bpe": op9_bpe}
+def op7_urls(spark, sf_dir):
+    return urls.judge(_read(spark, sf_dir, "pages"))
+
+
+def op10_embdup(spark, sf_dir):
+    return embdup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_substring": op6_substring, "op5_licenses": op5_licenses, "op7_urls": op7_urls, "op9_bpe": op9_bpe, "op10_embdup": op10_embdup}
 ORACLE = {}
