@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from sieveloom.llm import bpe, embdup, licenses, neardup, quality, substring, toxicity, urls
+from sieveloom.llm import bpe, decontam, embdup, licenses, neardup, quality, substring, toxicity, urls, warc
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontam.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_toxicity(spark, sf_dir):
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -29,6 +33,10 @@ def op5_licenses(spark, sf_dir):
     return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.derived(warc.responses(_read(spark, sf_dir, "pages")))
+
+
 def op9_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -43,5 +51,8 @@ def op10_embdup(spark, sf_dir):
     return embdup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_substring": op6_substring, "op5_licenses": op5_licenses, "op7_urls": op7_urls, "op9_bpe": op9_bpe, "op10_embdup": op10_embdup}
-ORACLE = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontamination, op2_toxicity, op3_quality, op4_neardup, op5_licenses, op6_substring, op7_urls, op8_warc, op9_bpe, op10_embdup)
+}
+ORACLE = {"op8_warc": warc.oracle_sql()}
