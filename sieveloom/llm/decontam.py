@@ -3,8 +3,9 @@
 A test item of m characters (case folded, white space squeezed) has an error budget of
 k = floor(RATE * m). It is split into k + 1 pieces: a text within k edits of the item
 holds at least one piece unchanged, where it stands give or take k. An Aho-Corasick
-automaton finds the pieces in every whole text; around each hit Myers' bit-parallel
-algorithm gives the least edit distance of the item to any stretch of the text.
+automaton finds the pieces in every whole text. A stretch around a hit that lacks more
+than GRAM * k of the item's distinct GRAM-letter runs is more than k edits away, as an edit
+breaks at most GRAM of them; around the other hits Myers' bit-parallel algorithm gives the least edit distance of the item to any stretch of the text.
 
 The items are the query set. They are taken in blocks of at most BLOCK_ITEMS items, found
 by a hash of the item, so what one pass carries to the executors is bounded however many
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sieveloom.llm import common as c
 
-RATE, BLOCK_ITEMS = 0.1, 4_000
+RATE, BLOCK_ITEMS, GRAM = 0.1, 4_000, 5
 
 
 def folded(text: str | None) -> str:
@@ -37,6 +38,10 @@ def pieces(m: int, k: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
+def grams(text: str) -> set[str]:
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
 def myers(pattern_bits: dict[str, int], m: int, text: str, k: int) -> tuple[int, int] | None:
     """(least edit distance of the pattern to a stretch of text, the stretch's end), if at most k."""
     mask, top = (1 << m) - 1, 1 << (m - 1)
@@ -80,7 +85,7 @@ class Matcher:
                 bits[ch] = bits.get(ch, 0) | 1 << i
             for a, b in pieces(m, k):
                 found.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, text, bits, m, k))
+            self.items.append((item_id, text, bits, m, k, grams(text)))
         self.automaton = ahocorasick.Automaton()
         for piece, where in found.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -95,7 +100,7 @@ class Matcher:
         spans: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.automaton.iter(text):
             for number, at in where:
-                _, _, _, m, k = self.items[number]
+                _, _, _, m, k, _ = self.items[number]
                 start = end + 1 - size - at
                 lo, hi = max(0, start - k), min(len(text), start + m + k)
                 own = spans.setdefault(number, [])
@@ -105,9 +110,11 @@ class Matcher:
                     own.append([lo, hi])
         out = []
         for number, own in spans.items():
-            _, _, bits, m, k = self.items[number]
+            _, _, bits, m, k, runs = self.items[number]
             best = None
             for lo, hi in own:
+                if len(runs) > GRAM * k and len(runs - grams(text[lo:hi])) > GRAM * k:
+                    continue
                 if (got := myers(bits, m, text[lo:hi], k)) and (best is None or got[0] < best[0]):
                     best = (got[0], lo + got[1])
             if best:
