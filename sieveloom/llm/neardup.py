@@ -7,7 +7,7 @@ collision-corrected Jaccard estimate, and pairs that may reach the threshold are
 confirmed on the full sets. Groups are the connected components of confirmed links.
 
 Equal sets are one class from the start, so exact copies cost one row each. Within a
-bucket no pairs are enumerated: in round r some 4**(r+1) members, drawn by hash, are
+bucket no pairs are enumerated: in round r some 8**(r+1) members, drawn by hash, are
 centres, compared with the members after them in hash order that are not yet in the same
 component. Rounds go on until every bucket either is one component or has had all its
 members as centres, so no link is lost to a large bucket, while a bucket of near copies
@@ -155,7 +155,7 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
             at = at.join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         else:
             at = at.withColumn("component", F.col("id"))
-        lo, hi = (0.0 if r == 0 else float(4**r)), float(4 ** (r + 1))
+        lo, hi = (0.0 if r == 0 else float(8**r)), float(8 ** (r + 1))
         centre = at.where((F.col("turn") >= F.lit(lo) / F.col("size")) & (F.col("turn") < F.lit(hi) / F.col("size")))
         centre = centre.select("bucket", F.col("id").alias("a"), F.col("turn").alias("first"), F.col("component").alias("ca"))
         pairs = centre.join(at, "bucket").where("component != ca and (turn > first or (turn = first and id > a))")
