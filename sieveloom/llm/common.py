@@ -4,6 +4,7 @@ folder, vectorised word hashing, and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -54,14 +55,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends
-    there, so that a lost executor costs no recomputation of what came before."""
+    there, so that a lost executor costs no recomputation of what came before, and the
+    shuffle files of what came before are dropped."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sieveloom-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.parquet(path)
     if not _written:
         atexit.register(drop_written)
     _written.append((weakref.ref(spark), path))
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once their plans are collected
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop_written() -> None:

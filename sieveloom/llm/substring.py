@@ -6,11 +6,11 @@ that brings both to cover places. Words are hashed in runs of 8 at cover places
 (the anchors): if two windows of 20 words are equal, they share an aligned anchor, with
 at most 12 words before it. Anchors that occur once are dropped. Around the others the
 match is extended: each window of 20 words that holds a repeated anchor is hashed whole
-(128 bits), and the first place of every window hash is kept. A window that also starts
+(95 bits), and the first place of every window hash is kept. A window that also starts
 earlier is covered; covered words are removed.
 
-Shuffles: one of anchors (4/13 of the words), one of the texts by id, one of the windows
-around repeated anchors. Texts equal to an earlier one are settled without windows.
+Shuffles: one of anchors (4/13 of the words), two of the texts by id, one of the windows
+around repeated anchors; each is written out and its shuffle files dropped before the next. Texts equal to an earlier one are settled without windows.
 A third of all documents may share a passage: each of its anchors and windows is then a
 sixth-of-a-percent key, counted in a spillable sort, and no pairs are formed.
 
@@ -87,9 +87,9 @@ def windows(texts: DataFrame) -> DataFrame:
                     p.append(start)
                     i.append(np.full(len(start), ids[lo + j], np.int64))
                 if x:
-                    yield pa.RecordBatch.from_arrays([pa.array(c.signed(np.concatenate(x))), pa.array(c.signed(np.concatenate(y))), pa.array(np.concatenate(i)), pa.array(np.concatenate(p).astype(np.int32))], names=["h1", "h2", "id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.signed(np.concatenate(x))), pa.array((np.concatenate(y) >> np.uint64(33)).astype(np.int32)), pa.array(np.concatenate(i)), pa.array(np.concatenate(p).astype(np.int32))], names=["h1", "h2", "id", "place"])
 
-    return texts.mapInArrow(run, "h1 long, h2 long, id long, place int")
+    return texts.mapInArrow(run, "h1 long, h2 int, id long, place int")
 
 
 def covered(texts: DataFrame) -> DataFrame:
@@ -98,13 +98,11 @@ def covered(texts: DataFrame) -> DataFrame:
     texts = texts.withColumn("same", F.md5("text"))
     first = texts.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("same", "first")
     copies = c.cut(texts.select("id", "same").join(first, "same").where("id != first").select("id").distinct())
-    found = anchors(texts.select("id", "text"))
-    often = Window.partitionBy("hash")
-    found = found.select("id", "place", F.count("*").over(often).alias("n")).where("n > 1")
-    found = found.groupBy("id").agg(F.collect_list("place").alias("places")).join(copies, "id", "left_anti")
+    often = anchors(texts.select("id", "text")).select("id", "place", F.count("*").over(Window.partitionBy("hash")).alias("n")).where("n > 1")
+    found = c.cut(often.groupBy("id").agg(F.collect_list("place").alias("places")).join(copies, "id", "left_anti"))
     near = texts.select("id", "text").join(found, "id").select("id", "text", "places")
     seen = windows(near).withColumn("first", F.min(F.struct("id", "place")).over(Window.partitionBy("h1", "h2")))
-    later = seen.where("first.id != id or first.place != place").groupBy("id").agg(F.collect_set("place").alias("places"))
+    later = c.cut(seen.where("first.id != id or first.place != place").groupBy("id").agg(F.collect_set("place").alias("places")))
     return later.unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("places")))
 
 
