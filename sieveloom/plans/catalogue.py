@@ -2,5 +2,894 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sieveloom import schema
+from sieveloom.functions import text as X
+from sieveloom.functions import web
+from sieveloom.functions.taxonomy import Taxonomy
+from sieveloom.operators import annotate, audit, clean, mapping, party, public, sample, serve, topics
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+#: A small lexicon of words that the test texts have, all patterns ASCII.
+TAX = Taxonomy(
+    themes={1: (r"\bthe\w*", r"\bthat\b"), 2: (r"\bder\b", r"\bdie\b"), 3: (r"\bles\b", r"\bdes\b"), 4: (r"\bque\b", r"\blas\b")},
+    labels={1: "one", 2: "two", 3: "three", 4: "four"}, process=(r"\band\b", r"\bwas\b"), boilerplate=(r"licensed under",), exclusions=("of the",),
+    subthemes={1: {"a": (r"\bthe\b",), "b": (r"\bthat\b", r"\bthere\w*")}}, markers={"m1": (r"\bto\b",), "m2": (r"\bund\b",), "m3": (r"\bpour\b", r"\bpar\b")},
+)
+PARTIES = {"p1": r"\bidiot\b|\bof\b", "p2": r"\bund\b", "p3": r"\bpour\b", "p4": r"\bel\b"}
+LAYERS = ["documents", "conversations", "benchmark"]
+
+
+def _table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _docs(spark, sf):
+    return schema.corpus(_table(spark, sf, "documents"))
+
+
+def _topics(spark, sf):
+    """embeddings as a review table: 12 weights, own topic, domain from the label."""
+    e = _table(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 12), lambda x: F.abs(x.cast("double"))).alias("weights"), "label")
+    topic, share = audit.dominant(F.col("weights"))
+    day = F.date_add(F.lit("2026-01-01").cast("date"), F.pmod(F.col("vec_id"), F.lit(240)).cast("int"))
+    return e.select(
+        F.concat(F.lit("vec:"), F.col("vec_id").cast("string")).alias("url"), F.col("vec_id").alias("ord"), F.when(F.col("label") != 0, F.concat(F.lit("d"), F.col("label").cast("string"))).alias("domain"),
+        F.when(F.pmod(F.col("vec_id"), F.lit(17)) == 0, F.lit("n/a")).otherwise(F.date_format(day, "yyyy-MM-dd")).alias("seendate"), "weights", topic.alias("topic_id"), share.alias("confidenza_topic"),
+        F.concat(F.lit("t"), F.pmod(F.col("vec_id"), F.lit(300)).cast("string")).alias("title"), F.concat(F.lit("e"), F.pmod(F.col("vec_id"), F.lit(350)).cast("string")).alias("estratto"),
+    )
+
+
+def _review(spark, sf):
+    """documents with an excerpt, as the duplicate checks read them."""
+    return _docs(spark, sf).select("url", "domain", "title", "language", F.regexp_replace("text", r"[ \t\n\r]+", " ").alias("estratto"))
+
+
+def _units(spark, sf):
+    """The three layers as units with classes."""
+    d = _table(spark, sf, "documents").select(F.lit("documents").alias("layer"), F.col("doc_id").alias("ord"), "text")
+    t = _table(spark, sf, "conversations").select(F.lit("conversations").alias("layer"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
+    b = _table(spark, sf, "benchmark").select(F.lit("benchmark").alias("layer"), F.col("item_id").alias("ord"), "text")
+    return TAX.classified(d.unionByName(t).unionByName(b))
+
+
+def _doc_units(spark, sf):
+    return TAX.classified(_docs(spark, sf))
+
+
+# ---- pieces of SQL
+
+CORPUS = """corpus as (select doc_id as ord, 'doc:' || doc_id as url, source as domain, strftime(date '2026-01-01' + cast(doc_id % 240 as integer), '%Y-%m-%d') as seendate,
+  split_part(text, chr(10), 1) as title, text, n_chars as chars, lang as language from documents)"""
+TOPICS = """topics as (select 'vec:' || vec_id as url, vec_id as ord, case when label != 0 then 'd' || label end as domain,
+  case when vec_id % 17 = 0 then 'n/a' else strftime(date '2026-01-01' + cast(vec_id % 240 as integer), '%Y-%m-%d') end as seendate, w as weights,
+  list_position(w, list_max(w)) - 1 as topic_id, list_max(w) / greatest(list_sum(w), 1e-12) as confidenza_topic, 't' || (vec_id % 300) as title, 'e' || (vec_id % 350) as estratto
+  from (select vec_id, label, list_transform(embedding[1:12], lambda x: abs(cast(x as double))) as w from embeddings))"""
+REVIEW = f"{CORPUS}, review as (select url, domain, title, language, regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g') as estratto from corpus)"
+
+
+def _hits(patterns, form="form"):
+    return " + ".join(f"len(regexp_extract_all({form}, '{p}'))" for p in patterns) or "0"
+
+
+def _classes(source, extra):
+    """classes: counts and class of each unit of `source` (with a column text)."""
+    counts = ", ".join(f"{_hits(p)} as t{k}" for k, p in TAX.themes.items())
+    total, best = " + ".join(f"t{k}" for k in TAX.themes), f"greatest({', '.join(f't{k}' for k in TAX.themes)})"
+    first = "case " + " ".join(f"when t{k} = best then {k}" for k in TAX.themes) + " end"
+    form = r"regexp_replace(strip_accents(lower(text)), '[\s\x{85}\p{Z}]+', ' ', 'g')"
+    for p in TAX.exclusions:
+        form = f"regexp_replace({form}, '{p}', ' ', 'g')"
+    return f"""forms as (select {extra}, {form} as form from {source}),
+counts as (select *, {counts}, {_hits(TAX.process)} as process_n, {_hits(TAX.boilerplate)} as boiler_n from forms),
+sums as (select *, {total} + process_n as hits, {best} as best from counts),
+classes as (select *, case when boiler_n > 0 or hits < 1 or process_n > best then null else {first} end as theme_id,
+  case when boiler_n > 0 then 'boilerplate' when hits < 1 then 'non assegnato' when process_n > best then 'processo' else cast({first} as varchar) end as category,
+  case when boiler_n > 0 or hits < 1 then 0.0 else cast(greatest(best, process_n) as double) / hits end as margin from sums)"""
+
+
+DOC_CLASSES = f"with {CORPUS}, {_classes('corpus', 'ord, url, domain, seendate, language')}"
+LAYER_CLASSES = f"""with every as (select 'documents' as layer, doc_id as ord, text from documents union all select 'conversations', conv_id * 1000 + turn, text from conversations
+  union all select 'benchmark', item_id, text from benchmark), {_classes('every', 'layer, ord')}"""
+LAYER_SHARES = f"{LAYER_CLASSES}, shares as (select layer, category, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by layer) as share from classes group by all)"
+
+
+def query(name, sql=None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+# ---- lexicon
+
+
+@query("lexicon_counts", f"{DOC_CLASSES} select url, t1, t2, t3, t4, process_n, boiler_n from classes")
+def _(spark, sf):
+    return TAX.counted(_docs(spark, sf)).select("url", "t1", "t2", "t3", "t4", "process_n", "boiler_n")
+
+
+@query("theme_classify", f"{DOC_CLASSES} select url, cast(theme_id as integer) as theme_id, category, margin from classes")
+def _(spark, sf):
+    return _doc_units(spark, sf).select("url", "theme_id", "category", "margin")
+
+
+@query("theme_labels", f"{DOC_CLASSES} select case theme_id when 1 then 'one' when 2 then 'two' when 3 then 'three' when 4 then 'four' end as label, count(*) as n from classes where theme_id is not null group by all")
+def _(spark, sf):
+    return _doc_units(spark, sf).where("theme_id is not null").groupBy(TAX.label(F.col("theme_id")).alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("subtheme", f"{DOC_CLASSES} select url, case when a = 0 and b = 0 then null when a >= b then 'a' else 'b' end as subtheme from (select *, {_hits(TAX.subthemes[1]['a'])} as a, {_hits(TAX.subthemes[1]['b'])} as b from classes) where theme_id = 1")
+def _(spark, sf):
+    return _doc_units(spark, sf).where("theme_id = 1").select("url", TAX.subtheme(1, F.col("form")).alias("subtheme"))
+
+
+@query("subtheme_share", f"{DOC_CLASSES} select count(*) as parent, 100.0 * avg(case when a > b and a > 0 or a = b and a > 0 then 1 else 0 end) as share_a from (select *, {_hits(TAX.subthemes[1]['a'])} as a, {_hits(TAX.subthemes[1]['b'])} as b from classes) where theme_id = 1")
+def _(spark, sf):
+    u = _doc_units(spark, sf).where("theme_id = 1").select(TAX.subtheme(1, F.col("form")).eqNullSafe("a").cast("int").alias("a"))
+    return u.agg(F.count("*").alias("parent"), (100.0 * F.avg("a")).alias("share_a"))
+
+
+_MARKS = " union all ".join(f"select '{k}' as marker, * from classes where {_hits(p)} >= 1" for k, p in TAX.markers.items())
+
+
+@query("markers_by_month", f"{DOC_CLASSES}, marks as ({_MARKS}) select marker, substr(seendate, 1, 7) as month, count(*) as n, 1000.0 * count(*) / (select count(*) from classes) as per_mille from marks group by all")
+def _(spark, sf):
+    u = _doc_units(spark, sf).select(F.substring("seendate", 1, 7).alias("month"), TAX.marked(F.col("form")).alias("markers"))
+    return mapping.marker_counts(u, ["month"])
+
+
+@query("markers_by_theme", f"{DOC_CLASSES}, marks as ({_MARKS}) select marker, category, count(*) as n, 1000.0 * count(*) / (select count(*) from classes) as per_mille from marks group by all")
+def _(spark, sf):
+    return mapping.marker_counts(_doc_units(spark, sf).select("category", TAX.marked(F.col("form")).alias("markers")), ["category"])
+
+
+@query("theme_share_by_domain", f"{DOC_CLASSES} select domain, category, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by domain) as share from classes group by all")
+def _(spark, sf):
+    return mapping.shares(_doc_units(spark, sf), ["domain"])
+
+
+@query("theme_share_themes_only", f"{LAYER_CLASSES} select layer, category, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by layer) as share from classes where theme_id is not null group by all")
+def _(spark, sf):
+    return mapping.shares(_units(spark, sf), ["layer"], True)
+
+
+@query("coverage_pct", f"{LAYER_CLASSES} select layer, count(*) as units, 100.0 * avg(case when theme_id is not null then 1 else 0 end) as assigned, 100.0 * avg(case when category = 'processo' then 1 else 0 end) as process from classes group by layer")
+def _(spark, sf):
+    return mapping.coverage(_units(spark, sf), ["layer"])
+
+
+_CATS = ["1", "2", "3", "4", "processo", "boilerplate", "non assegnato"]
+
+
+@query("theme_pivot_by_group", f"{DOC_CLASSES} select domain, {', '.join(f'''count(*) filter (category = '{x}') as \"{x}\"''' for x in _CATS)} from classes group by domain")
+def _(spark, sf):
+    return mapping.counts_by_theme(_doc_units(spark, sf), ["domain"], _CATS)
+
+
+_WIDE = ", ".join(f"coalesce(max(share) filter (layer = '{x}'), 0) as {x}" for x in LAYERS)
+
+
+@query("layer_comparison", f"{LAYER_SHARES} select *, conversations - documents as gap_documents_conversations, benchmark - conversations as gap_conversations_benchmark from (select category, {_WIDE} from shares group by category)")
+def _(spark, sf):
+    return mapping.comparison(mapping.shares(_units(spark, sf), ["layer"]), LAYERS)
+
+
+@query("layer_divergence", f"""{LAYER_CLASSES}, shares as (select layer, category, 100.0 * count(*) / sum(count(*)) over (partition by layer) as share from classes where theme_id is not null group by all),
+a as (select * from shares where layer = 'documents'), b as (select * from shares where layer = 'conversations') select 0.5 * sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) as divergence from a full join b on a.category = b.category""")
+def _(spark, sf):
+    s = mapping.shares(_units(spark, sf).where("layer != 'benchmark'"), ["layer"], True)
+    return mapping.divergence(s.where("layer = 'documents'"), s.where("layer = 'conversations'"))
+
+
+@query("h1_index", f"""{DOC_CLASSES}, s as (select ord % 2 as side, domain as name, category, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by ord % 2, domain) as share from classes where theme_id is not null group by all),
+t as (select side, name, sum(n) as n from s group by all), ab as (select coalesce(a.name, b.name) as name, coalesce(a.share, 0) as x, coalesce(b.share, 0) as y from (select * from s where side = 0) a full join (select * from s where side = 1) b on a.name = b.name and a.category = b.category)
+select ab.name, 0.5 * sum(abs(x - y)) as divergence, cast(any_value(p.n) as bigint) as n_a, cast(any_value(q.n) as bigint) as n_b, any_value(p.n >= 20 and q.n >= 20) as reliable from ab join t p on p.side = 0 and p.name = ab.name join t q on q.side = 1 and q.name = ab.name group by ab.name""")
+def _(spark, sf):
+    u = _doc_units(spark, sf).select("ord", F.col("domain").alias("name"), "theme_id", "category")
+    return mapping.h1_index(u.where("ord % 2 = 0"), u.where("ord % 2 = 1"), 20)
+
+
+@query("source_control", f"""with {CORPUS}, halves as (select ord, domain as name, 'a' as side, substr(text, 1, cast(length(text) // 2 as integer)) as text from corpus union all select ord, domain, 'b', substr(text, cast(length(text) // 2 as integer) + 1) from corpus), {_classes('halves', 'ord, name, side')},
+s as (select side, name, category, 100.0 * count(*) / sum(count(*)) over (partition by side, name) as share from classes where theme_id is not null group by all)
+select name, 0.5 * sum(abs(coalesce(x, 0) - coalesce(y, 0))) as divergence from (select coalesce(a.name, b.name) as name, a.share as x, b.share as y from (select * from s where side = 'a') a full join (select * from s where side = 'b') b on a.name = b.name and a.category = b.category) group by name""")
+def _(spark, sf):
+    d = _docs(spark, sf).withColumn("half", F.floor(F.length("text") / 2).cast("int"))
+    cut = d.select("ord", F.col("domain").alias("name"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.substring("text", F.lit(1), F.col("half")).alias("text")), F.struct(F.lit("b").alias("side"), F.substring(F.col("text"), F.col("half") + 1, F.length("text")).alias("text")))).alias("x")).select("ord", "name", "x.*")
+    s = mapping.shares(TAX.classified(cut), ["side", "name"], True)
+    return mapping.divergence(s.where("side = 'a'"), s.where("side = 'b'"), ["name"])
+
+
+@query("override_merge", """with a as (select distinct source as name, min(doc_id) as v from documents where doc_id % 3 != 0 group by source), b as (select source as name, max(doc_id) as v from documents where doc_id % 2 = 0 group by source)
+select coalesce(a.name, b.name) as name, coalesce(b.v, a.v) as v, case when b.name is not null then 'second' else 'first' end as source, a.name is not null and b.name is not null as paired from a full join b on a.name = b.name""")
+def _(spark, sf):
+    d = _table(spark, sf, "documents").select(F.col("source").alias("name"), "doc_id")
+    a = d.where("doc_id % 3 != 0").groupBy("name").agg(F.min("doc_id").alias("v"))
+    return mapping.override(a, d.where("doc_id % 2 = 0").groupBy("name").agg(F.max("doc_id").alias("v")), ["name"], "v")
+
+
+@query("reweighted_share", f"""{DOC_CLASSES}, r as (select ord % 5 as topic_id, category, count(*) as n from classes group by all), s as (select topic_id, sum(n) as rows_ from r group by all),
+w as (select category, sum(n * (10.0 + topic_id) / rows_) as weighted from r join s using (topic_id) group by category) select category, weighted, 100.0 * weighted / sum(weighted) over () as share from w""")
+def _(spark, sf):
+    p = spark.range(5).select(F.col("id").alias("topic_id"), (F.col("id") + 10.0).alias("prevalence"))
+    return mapping.weighted_shares(_doc_units(spark, sf).select((F.col("ord") % 5).alias("topic_id"), "category"), p)
+
+
+@query("dominant_theme_per_topic", f"""{DOC_CLASSES}, r as (select ord % 7 as topic_id, category, count(*) as n, min(ord) as met from classes group by all)
+select topic_id, category, n, share from (select *, 100.0 * n / sum(n) over (partition by topic_id) as share, row_number() over (partition by topic_id order by n desc, met) as k from r) where k = 1""")
+def _(spark, sf):
+    return mapping.dominant(_doc_units(spark, sf).select((F.col("ord") % 7).alias("topic_id"), "category", "ord"))
+
+
+@query("paragraph_units", r"""select doc_id as ord, pos - 1 as pos, p as text from (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as pos from (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), '\n([A-ZÀ-Ù0-9])', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 200) as ps from documents))""")
+def _(spark, sf):
+    return mapping.paragraph_units(_docs(spark, sf)).select("ord", "pos", "text")
+
+
+# ---- parties
+
+_P = ", ".join(f"regexp_matches(form, '{p}') as {k}" for k, p in PARTIES.items())
+_NAMED = f"named as (select *, {_P} from classes), long as ({' union all '.join(f'''select '{k}' as party, * from named where {k}''' for k in PARTIES)})"
+
+
+@query("party_coverage", f"{DOC_CLASSES}, named as (select {_P} from classes), n as (select count(*) as n, {', '.join(f'count(*) filter ({k}) as {k}' for k in PARTIES)} from named) select party, articles, 100.0 * articles / n as percent from (unpivot n on {', '.join(PARTIES)} into name party value articles)")
+def _(spark, sf):
+    return party.coverage(_docs(spark, sf).withColumn("form", X.lexicon_form(F.col("text"), TAX.exclusions)), PARTIES, "form")
+
+
+@query("party_theme_cube", f"{DOC_CLASSES}, {_NAMED} select party, category, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by party) as share from long where theme_id is not null group by all")
+def _(spark, sf):
+    return party.cube(party.by_party(_doc_units(spark, sf), PARTIES, "form"))
+
+
+@query("party_cube_from_wide", f"{DOC_CLASSES}, l as (select domain, category, count(*) as n from classes where theme_id is not null group by all) select domain, category, cast(n as bigint) as n, 100.0 * n / sum(n) over (partition by domain) as share from l")
+def _(spark, sf):
+    return party.cube_from_wide(mapping.counts_by_theme(_doc_units(spark, sf), ["domain"], ["1", "2", "3", "4"]), "domain", ["1", "2", "3", "4"])
+
+
+@query("full_text_query", f"{DOC_CLASSES} select count(*) as n, count(*) filter ({' or '.join(f'''regexp_matches(form, '{p}')''' for p in PARTIES.values())}) as found from classes")
+def _(spark, sf):
+    d = _docs(spark, sf).select(X.lexicon_form(F.col("text"), TAX.exclusions).alias("form"))
+    return d.agg(F.count("*").alias("n"), F.count_if(party.combined(F.col("form"), PARTIES)).alias("found"))
+
+
+@query("homonym_filter", r"select doc_id from documents where regexp_matches(text, '\bthe\b') and not regexp_matches(text, '\bhaing\b') and not regexp_matches(text, '\bund\b') and regexp_matches(text, '\bof\b')")
+def _(spark, sf):
+    return _table(spark, sf, "documents").where(party.homonym_noise(F.col("text"), r"\bthe\b", r"\bhaing\b", r"\bund\b", r"\bof\b")).select("doc_id")
+
+
+@query("crosswalk", "with x(source, party) as (values ('src1', 'A'), ('src1', 'B'), ('src2', 'B'), ('src3', 'C')) select party, count(*) as n from documents join x using (source) group by party")
+def _(spark, sf):
+    return party.crosswalk(_table(spark, sf, "documents"), {"src1": ["A", "B"], "src2": ["B"], "src3": ["C"], "src4": []}, "source").groupBy("party").agg(F.count("*").alias("n"))
+
+
+# ---- cleaning: the lines of the test texts are compared without accents, in lower case
+
+_LINE = r"trim(regexp_replace(strip_accents(lower(x)), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' ')"
+_RAW = r"regexp_split_to_array(text, '\r\n|[\n\r]')"
+LINES = f"""{CORPUS}, parts as (select ord, domain, unnest({_RAW}) as x, unnest(range(len({_RAW}))) as pos from corpus), normal as (select *, {_LINE} as line, length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) as size from parts),
+own as (select distinct ord, domain, line from normal where size >= 3 and line != '')"""
+LOCAL = "local as (select o.domain, line, count(*) as df, any_value(n) as n from own o join (select domain, count(*) as n from corpus group by domain having count(*) >= 20) s using (domain) group by o.domain, line having count(*) >= 0.3 * any_value(n))"
+GLOBAL = "common as (select line, count(*) as df, count(distinct domain) as domains from own group by line having count(*) >= 0.02 * (select count(*) from corpus) and (select count(*) from corpus) >= 200 and count(distinct domain) >= 3)"
+STRIPPED = f"""{LINES}, {LOCAL}, {GLOBAL}, marked as (select n.*, length(n.line) >= 3 and (l.line is not null or g.line is not null) as out_ from normal n left join local l on l.domain = n.domain and l.line = n.line left join common g on g.line = n.line),
+stripped as (select ord, regexp_replace(coalesce(string_agg(x, chr(10) order by pos) filter (not out_), ''), '^\\s+|\\s+$', '', 'g') as text, sum(case when out_ then 1 else 0 end) as removed from marked group by ord)"""
+
+
+@query("template_lines_domain", f"with {LINES}, {LOCAL} select domain, line, df, n from local")
+def _(spark, sf):
+    return clean.domain_templates(_docs(spark, sf))
+
+
+@query("template_lines_global", f"with {LINES}, {GLOBAL} select line, cast(df as bigint) as df, domains from common")
+def _(spark, sf):
+    return clean.corpus_templates(_docs(spark, sf))
+
+
+@query("strip_boilerplate", f"with {STRIPPED} select ord, text, cast(removed as bigint) as removed from stripped")
+def _(spark, sf):
+    return clean.without_templates(_docs(spark, sf)).select("ord", "text", "removed")
+
+
+_MARK = r"sha1(trim(regexp_replace(strip_accents(lower(text)), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' '))"
+
+
+@query("text_dedup_kept", f"with {CORPUS} select url, domain from (select *, row_number() over (partition by {_MARK} order by ord) as k from corpus) where k = 1")
+def _(spark, sf):
+    return clean.text_copies(_docs(spark, sf))[0].select("url", "domain")
+
+
+@query("text_dedup_dropped", f"with {CORPUS} select url, domain from (select *, row_number() over (partition by {_MARK} order by ord) as k from corpus) where k > 1")
+def _(spark, sf):
+    return clean.text_copies(_docs(spark, sf))[1].select("url", "domain")
+
+
+@query("clean_pipeline", f"with {STRIPPED}, marks as (select ord, text, removed, row_number() over (partition by {_MARK} order by ord) as k from stripped where length(text) >= 300) select ord, cast(length(text) as bigint) as chars, cast(removed as bigint) as removed from marks where k = 1")
+def _(spark, sf):
+    return clean.cleaned(_docs(spark, sf)).select("ord", "chars", "removed")
+
+
+@query("clean_report", f"""with {STRIPPED}, marks as (select *, row_number() over (partition by {_MARK} order by ord) as k from stripped where length(text) >= 300)
+select 'documents_in' as metric, count(*) as value from corpus union all select 'lines_removed', cast(coalesce(sum(removed), 0) as bigint) from stripped union all select 'too_short', count(*) from stripped where length(text) < 300
+union all select 'copies', count(*) from marks where k > 1 union all select 'documents_out', count(*) from marks where k = 1 union all select 'domain_templates', count(*) from local
+union all select 'domains_with_templates', count(distinct domain) from local union all select 'corpus_templates', count(*) from common""")
+def _(spark, sf):
+    return clean.report(_docs(spark, sf))
+
+
+@query("language_filter", "select doc_id from documents where coalesce(case when doc_id % 10 = 0 then null else lang end, 'it') = 'it' or length(text) < 300 and lang = 'en'")
+def _(spark, sf):
+    d = _table(spark, sf, "documents").withColumn("language", F.when(F.col("doc_id") % 10 != 0, F.col("lang")))
+    short = _table(spark, sf, "documents").where((F.length("text") < 300) & (F.col("lang") == "en"))
+    return clean.by_language(d).select("doc_id").union(short.select("doc_id")).distinct()
+
+
+@query("min_length", "select doc_id from documents where length(text) >= 2000")
+def _(spark, sf):
+    return clean.long_enough(_table(spark, sf, "documents"), 2000).select("doc_id")
+
+
+@query("language_detect")
+def _(spark, sf):
+    return _docs(spark, sf).groupBy("language", X.language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
+
+
+@query("mojibake_repair")
+def _(spark, sf):
+    d = _docs(spark, sf).select("ord", "text", F.encode("text", "UTF-8").alias("raw"))
+    broken = d.withColumn("broken", F.try_to_number(F.lit("1"), F.lit("9")).cast("string")).withColumn("broken", F.decode("raw", "ISO-8859-1"))
+    return broken.select("ord", X.mojibake(F.col("broken")).alias("damaged"), (X.repaired(F.col("broken")) == F.col("text")).alias("restored"))
+
+
+# ---- audit
+
+
+@query("topic_distribution", f"with {TOPICS} select cast(i as integer) as topic_id, count(url) as articles, 100.0 * count(url) / sum(count(url)) over () as percent from range(12) r(i) left join topics on topic_id = i group by i")
+def _(spark, sf):
+    return audit.distribution(_topics(spark, sf), 12)
+
+
+_Q = ", ".join(f"quantile_cont({{v}}, {q}) as {k}" for k, q in audit.QUANTILES.items())
+
+
+@query("confidence_summary", f"with {TOPICS} select count(*) as n, min(confidenza_topic) as min, avg(confidenza_topic) as mean, {_Q.format(v='confidenza_topic')}, 100.0 * avg(case when confidenza_topic = 1 then 1 else 0 end) as percent_one from topics")
+def _(spark, sf):
+    return audit.summary(_topics(spark, sf), "confidenza_topic")
+
+
+@query("confidence_below", f"with {TOPICS} select t as threshold, 100.0 * avg(case when confidenza_topic < t then 1 else 0 end) as percent from topics, (select unnest([0.12, 0.15, 0.2, 0.3]::double[]) as t) group by t")
+def _(spark, sf):
+    return audit.below(_topics(spark, sf), "confidenza_topic", (0.12, 0.15, 0.2, 0.3))
+
+
+@query("weight_summary", f"with {TOPICS}, w as (select unnest(weights) as w, unnest(range(12)) as topic_id from topics) select cast(topic_id as integer) as topic_id, count(*) as n, min(w) as min, avg(w) as mean, {_Q.format(v='w')}, 100.0 * avg(case when w = 1 then 1 else 0 end) as percent_one from w group by topic_id")
+def _(spark, sf):
+    return audit.weight_summary(_topics(spark, sf))
+
+
+_DOM = "d as (select topic_id, coalesce(domain, '[MISSING]') as domain, count(*) as articles from topics group by all), r as (select *, 100.0 * articles / sum(articles) over (partition by topic_id) as percent, row_number() over (partition by topic_id order by articles desc, domain) as rank from d)"
+
+
+@query("domain_top", f"with {TOPICS}, {_DOM} select cast(topic_id as integer) as topic_id, domain, articles, percent, cast(rank as integer) as rank from r where rank <= 3")
+def _(spark, sf):
+    return audit.top_domains(_topics(spark, sf), 3)
+
+
+@query("dominant_domain", f"with {TOPICS}, {_DOM} select cast(topic_id as integer) as topic_id, domain, percent, percent >= 15 as warning from r where rank = 1")
+def _(spark, sf):
+    return audit.concentration(_topics(spark, sf), 0.15)
+
+
+@query("monthly_topics", f"with {TOPICS} select cast(topic_id as integer) as topic_id, strftime(try_cast(seendate as date), '%Y-%m') as month, count(*) as articles from topics where try_cast(seendate as date) is not null group by all")
+def _(spark, sf):
+    return audit.monthly(_topics(spark, sf))
+
+
+@query("date_range_topics", f"""with {TOPICS}, m as (select topic_id, strftime(try_cast(seendate as date), '%Y-%m') as month, count(*) as n from topics where try_cast(seendate as date) is not null group by all),
+j as (select topic_id, '{{' || string_agg('"' || month || '":' || n, ',' order by month) || '}}' as months from m group by topic_id)
+select cast(topic_id as integer) as topic_id, cast(min(try_cast(seendate as date)) as varchar) as first, cast(max(try_cast(seendate as date)) as varchar) as last, any_value(months) as months from topics join j using (topic_id) group by topic_id""")
+def _(spark, sf):
+    return audit.date_ranges(_topics(spark, sf))
+
+
+@query("top_weight_records", f"with {TOPICS} select cast(topic_id as integer) as topic_id, url, weight, cast(k as integer) as selection_rank from (select *, weights[topic_id + 1] as weight, row_number() over (partition by topic_id order by weights[topic_id + 1] desc, url) as k from topics) where k <= 3")
+def _(spark, sf):
+    return audit.top_records(_topics(spark, sf), 3).select("topic_id", "url", "weight", "selection_rank")
+
+
+@query("argmax_confidence", f"with {TOPICS} select url, cast(topic_id as integer) as topic_id, confidenza_topic from topics")
+def _(spark, sf):
+    return _topics(spark, sf).select("url", "topic_id", "confidenza_topic")
+
+
+_DUP = "select cast(coalesce(sum(n), 0) as bigint) as records, count(*) as groups, coalesce(max(n), 0) as largest from g where n > 1"
+
+
+@query("dup_excerpt", f"with {REVIEW}, g as (select estratto, count(*) as n from review where estratto != '' group by estratto) {_DUP}")
+def _(spark, sf):
+    return audit.excerpt_duplicates(_review(spark, sf))
+
+
+@query("dup_title_excerpt", f"with {REVIEW}, g as (select title, estratto, count(*) as n from review where title != '' or estratto != '' group by all) {_DUP}")
+def _(spark, sf):
+    return audit.title_excerpt_duplicates(_review(spark, sf))
+
+
+@query("near_dup_prefix", f"with {REVIEW}, k as (select substr(trim(regexp_replace(regexp_replace(lower(estratto), '[^a-zàèéìòóù0-9 ]+', ' ', 'g'), ' +', ' ', 'g'), ' '), 1, 30) as k from review), g as (select k, count(*) as n from k where k != '' group by k) {_DUP}")
+def _(spark, sf):
+    return audit.near_duplicates_by_prefix(_review(spark, sf), 30)
+
+
+@query("anomalies", f"""with {REVIEW}, g as (select estratto, count(*) as n from review where estratto != '' group by estratto) select 'rows' as metric, count(*) as value from review union all select 'repeated_url_records', 0
+union all select 'largest_excerpt_group', coalesce(max(n) filter (n > 1), 0) from g union all select 'non_latin_titles', 0""")
+def _(spark, sf):
+    return audit.anomalies(_review(spark, sf))
+
+
+# ---- topics
+
+_GRAMS = r"""words as (select ord, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}_]+'), lambda w: length(w) >= 2) as w from corpus),
+grams as (select ord, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) as term from words), tf as (select ord, term, count(*) as tf from grams group by all),
+vocab as (select term, count(*) as df, ln((1.0 + (select count(*) from corpus)) / (1.0 + count(*))) + 1.0 as idf from tf group by term having count(*) >= least(3, greatest(1, (select count(*) from corpus) // 10)) and count(*) <= 0.85 * (select count(*) from corpus))"""
+
+
+def _tf(spark, sf):
+    d = _docs(spark, sf)
+    tf = topics.term_counts(d)
+    return tf, topics.vocabulary(tf, d.count(), 3, 0.85)
+
+
+@query("tfidf_vocab", f"with {CORPUS}, {_GRAMS} select term, df, idf, row_number() over (order by encode(term)) - 1 as term_id from vocab")
+def _(spark, sf):
+    return topics.numbered(_tf(spark, sf)[1])
+
+
+@query("tfidf_norms", f"with {CORPUS}, {_GRAMS}, r as (select ord, (1.0 + ln(tf)) * idf as w from tf join vocab using (term)) select ord, count(*) as terms, max(w) / sqrt(sum(w * w)) as largest from r group by ord")
+def _(spark, sf):
+    return topics.weights(*_tf(spark, sf)).groupBy("ord").agg(F.count("*").alias("terms"), F.max("w").alias("largest"))
+
+
+@query("top_terms_by_lang", f"with {CORPUS}, {_GRAMS}, r as (select language, term, count(*) as docs from tf join corpus using (ord) group by all) select language, term, docs, cast(k as integer) as selection_rank from (select *, row_number() over (partition by language order by docs desc, term) as k from r) where k <= 10")
+def _(spark, sf):
+    d = _docs(spark, sf)
+    n = topics.term_counts(d).join(d.select("ord", "language"), "ord").groupBy("language", "term").agg(F.count("*").alias("docs"))
+    return sample.top_per_group(n, ["language"], [F.desc("docs"), "term"], 10)
+
+
+@query("nmf_topics")
+def _(spark, sf):
+    d = _docs(spark, sf)
+    tf = topics.term_counts(d.withColumn("text", F.col("title")))
+    v = topics.vocabulary(tf, d.count(), 3, 0.85)
+    rows = topics.weights(tf, v).persist()
+    return topics.topic_terms(topics.nmf(rows, 4, rounds=3)[1], 8)
+
+
+# ---- samples
+
+
+@query("diversified_selection", f"""with {TOPICS}, o as (select *, row_number() over (partition by topic_id order by weights[topic_id + 1] desc, url) as o from topics), l as (select *, row_number() over (partition by topic_id, coalesce(domain, '') order by o) as l from o)
+select cast(topic_id as integer) as topic_id, url, l > 2 as exception, cast(k as integer) as pick from (select *, row_number() over (partition by topic_id order by case when l > 2 then 1 else 0 end, case when l > 2 then 0 else l end, o) as k from l) where k <= 12""")
+def _(spark, sf):
+    t = _topics(spark, sf).withColumn("w", F.element_at("weights", F.col("topic_id") + 1)).withColumn("domain", F.coalesce("domain", F.lit("")))
+    return sample.diversified(t, "topic_id", "domain", [F.desc("w"), "url"], 12, 2).select("topic_id", "url", "exception", "pick")
+
+
+@query("review_budget", """with c as (select case when doc_id % 3 = 0 then 'programma' when doc_id % 3 = 1 then 'comunicato' else 'altro' end as type, 'doc:' || doc_id as url, n_chars as score, case when doc_id % 4 != 0 then cast(doc_id % 30 as integer) end as lastmod from documents),
+r as (select *, row_number() over (partition by type order by case when type = 'programma' then null else lastmod end desc nulls last, score desc, url) as k from c) select type, url, cast(k as integer) as rank from r where k <= case type when 'programma' then 20 when 'comunicato' then 10 else 0 end""")
+def _(spark, sf):
+    i = F.col("doc_id")
+    kind = F.when(i % 3 == 0, "programma").when(i % 3 == 1, "comunicato").otherwise("altro")
+    c = _table(spark, sf, "documents").select(kind.alias("type"), F.concat(F.lit("doc:"), i.cast("string")).alias("url"), F.col("n_chars").alias("score"), F.when(i % 4 != 0, (i % 30).cast("int")).alias("lastmod"))
+    return sample.budgets(c, {"programma": 20, "comunicato": 10}).select("type", "url", "rank")
+
+
+@query("stratified_sample")
+def _(spark, sf):
+    return sample.sample_per_group(_topics(spark, sf), ["topic_id"], "url", 5).select("topic_id", "url", "selection_rank")
+
+
+@query("three_part_sample")
+def _(spark, sf):
+    return sample.three_parts(_doc_units(spark, sf), 4, 10, 20).select("url", "stratum", "position")
+
+
+@query("review_sample")
+def _(spark, sf):
+    return sample.review_sample(_topics(spark, sf).withColumn("domain", F.coalesce("domain", F.lit(""))), [1, 2], [0, 3], 4, 4, 2, 2).select("review_id", "url", "domain", "selection", "exception")
+
+
+# ---- annotation and agreement
+
+_LAB = "lab as (select doc_id, quality as a, toxic as b, case when doc_id % 3 = 0 then toxic else quality end as a2, case when doc_id % 4 = 0 then quality else toxic end as b2, case when doc_id % 5 = 0 then 'x' else 'y' end as phase, 1 + doc_id % 4 as hits, doc_id % 6 as theme from labels)"
+
+
+def _labels(spark, sf):
+    i = F.col("doc_id")
+    return _table(spark, sf, "labels").select(
+        "doc_id", F.col("quality").alias("a"), F.col("toxic").alias("b"), F.when(i % 3 == 0, F.col("toxic")).otherwise(F.col("quality")).alias("a2"), F.when(i % 4 == 0, F.col("quality")).otherwise(F.col("toxic")).alias("b2"),
+        F.when(i % 5 == 0, "x").otherwise("y").alias("phase"), (1 + i % 4).cast("int").alias("hits"), (i % 6).cast("int").alias("theme"),
+    )
+
+
+@query("cohen_kappa", f"""with {_LAB}, n as (select count(*) as n, avg(case when a = b then 1.0 else 0.0 end) as po from lab), ra as (select a as v, count(*) as c from lab group by a), rb as (select b as v, count(*) as c from lab group by b),
+e as (select coalesce(sum(ra.c * rb.c), 0)::double / ((select n from n)::double * (select n from n)) as pe from ra join rb using (v)) select n, po as observed, pe as expected, (po - pe) / (1 - pe) as kappa from n, e""")
+def _(spark, sf):
+    return annotate.kappa(_labels(spark, sf), "a", "b")
+
+
+@query("reviewer_agreement", f"with {_LAB} select phase, count(*) as n, avg(case when a = b then 1.0 else 0.0 end) as exact, avg(case when a = b or a = b2 or b = a2 then 1.0 else 0.0 end) as wide from lab group by phase")
+def _(spark, sf):
+    return annotate.agreement(_labels(spark, sf), "a", "b", "a2", "b2", ("phase",))
+
+
+@query("reviewer_join", "select l.doc_id, d.lang, l.quality as label_r1, l.toxic as label_r2 from labels l join documents d using (doc_id)")
+def _(spark, sf):
+    labels, docs = _table(spark, sf, "labels"), _table(spark, sf, "documents")
+    key = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "lang")
+    return annotate.paired(key, labels.select("doc_id", F.col("quality").alias("label")), labels.select("doc_id", F.col("toxic").alias("label")), "doc_id")
+
+
+def _prec(keys, source="lab", right="a = 1"):
+    k = f"{keys}, " if keys else ""
+    return f"""select {k}n, r as "right", p as precision, greatest(0.0, p - 196.0 * sqrt(p / 100 * (1 - p / 100) / n)) as low, least(100.0, p + 196.0 * sqrt(p / 100 * (1 - p / 100) / n)) as high
+from (select {k}count(*) as n, cast(sum(case when {right} then 1 else 0 end) as bigint) as r, 100.0 * sum(case when {right} then 1 else 0 end) / count(*) as p from {source} group by {keys or '()'})"""
+
+
+@query("ci95", f"with {_LAB} {_prec('')}")
+def _(spark, sf):
+    return annotate.precision(_labels(spark, sf).withColumn("r", F.col("a") == 1), "r")
+
+
+@query("precision_bands", f"with {_LAB}, m as (select *, case when hits >= 4 then 4 when hits >= 2 then 2 else 1 end as band from lab) {_prec('band', 'm')}")
+def _(spark, sf):
+    return annotate.precision_by_band(_labels(spark, sf).withColumn("r", F.col("a") == 1), "r", "hits", [1, 2, 4])
+
+
+@query("threshold_curve", f"with {_LAB}, m as (select lab.*, t as threshold from lab, (select unnest([1, 2, 3, 4]) as t) where hits >= t) {_prec('threshold', 'm')}")
+def _(spark, sf):
+    return annotate.precision_by_threshold(_labels(spark, sf).withColumn("r", F.col("a") == 1), "r", "hits", [1, 2, 3, 4])
+
+
+@query("never_confirmed", f"with {_LAB} select cast(theme as integer) as theme, count(*) as n from lab where theme < 3 or b = 0 group by theme having sum(b) = 0")
+def _(spark, sf):
+    return annotate.never_right(_labels(spark, sf).where("theme < 3 or b = 0").withColumn("r", F.col("b") == 1), "theme", "r")
+
+
+@query("annotation_vocab_check", "select 'lang' as \"column\", lang as value, count(*) as n from documents where lang not in ('en', 'fr') and lang != '' group by lang")
+def _(spark, sf):
+    return annotate.bad_values(_table(spark, sf, "documents"), {"lang": ["en", "fr"]})
+
+
+@query("completeness_check", "select 'lang' as \"column\", count(*) filter (coalesce(case when doc_id % 9 = 0 then '' else lang end, '') = '') as empty from documents union all select 'source', count(*) filter (coalesce(source, '') = '') from documents")
+def _(spark, sf):
+    return annotate.empties(_table(spark, sf, "documents").withColumn("lang", F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.col("lang"))), ["lang", "source"])
+
+
+@query("immutable_check", "select doc_id, 'lang' as \"column\" from documents where doc_id % 50 = 7 union all select doc_id, 'row' from documents where doc_id % 50 = 8")
+def _(spark, sf):
+    d = _table(spark, sf, "documents").select("doc_id", "lang", "source")
+    copy = d.where("doc_id % 50 != 8").withColumn("lang", F.when(F.col("doc_id") % 50 == 7, "zz").otherwise(F.col("lang")))
+    return annotate.changed(d, copy, "doc_id", ["lang", "source"])
+
+
+@query("phase_assignment", "select phase, count(*) as n, min(doc_id) as first from (select doc_id, case when row_number() over (order by doc_id) <= 10 then 'calibration' else 'independent' end as phase from labels) group by phase")
+def _(spark, sf):
+    return annotate.phases(_table(spark, sf, "labels"), ["doc_id"], 10).groupBy("phase").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+
+
+@query("blind_projection", "select doc_id, split_part(text, chr(10), 1) as title, '' as label, '' as note from documents")
+def _(spark, sf):
+    return annotate.blind(_table(spark, sf, "documents").withColumn("title", F.substring_index("text", "\n", 1)), ["doc_id", "title"], ["label", "note"])
+
+
+@query("annotation_file_counts", f"with {_LAB} select count(*) as rows, count(*) filter (doc_id < 100) as calibration, count(*) filter (doc_id >= 100) as independent, count(*) * 2 as filled from lab")
+def _(spark, sf):
+    d = _labels(spark, sf).withColumn("phase", F.when(F.col("doc_id") < 100, "calibration").otherwise("independent"))
+    return annotate.file_counts(d, ["a", "b"])
+
+
+# ---- web
+
+_HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1))"
+_PATH = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_QRY = r"regexp_extract(url, '(\?[^#]*)', 1)"
+
+
+def _untag(x):
+    for old, new in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{old}', '{new}')" if x.startswith("replace") or x.startswith("regexp_replace") else f"replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '{old}', '{new}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'), ' ')"
+
+
+_BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g')"
+
+
+@query("html_title_meta", f"select page_id, {_untag(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))} as title, coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*name=\"description\"[^>]*content=\"([^\"]*)\"', 1), ''), regexp_extract(html, '(?is)<meta[^>]*property=\"og:description\"[^>]*content=\"([^\"]*)\"', 1)) as description from pages")
+def _(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", web.page_title(F.col("html")).alias("title"), web.meta_description(F.col("html")).alias("description"))
+
+
+@query("html_paragraph_text", f"select page_id, array_to_string(list_filter(list_transform(regexp_extract_all({_BARE}, '(?is)<p(?: [^>]*)?>(.*?)</p>', 1), lambda x: {_untag('x')}), lambda x: x != ''), chr(10)) as text from pages")
+def _(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", web.paragraph_text(F.col("html")).alias("text"))
+
+
+_LINKS = "regexp_extract_all(html, '(?i)<(?:a|iframe|embed|object)\\s[^>]*?(?:href|src|data)=\"([^\"]*)\"', 1)"
+
+
+@query("html_links", f"select page_id, link, min(pos) as pos from (select page_id, unnest({_LINKS}) as link, unnest(range(len({_LINKS}))) as pos from pages) where link != '' group by all")
+def _(spark, sf):
+    all_ = F.regexp_extract_all("html", F.lit(r"(?i)<(?:a|iframe|embed|object)\s[^>]*?(?:href|src|data)=\"([^\"]*)\""), F.lit(1))
+    p = _table(spark, sf, "pages").select("page_id", web.links(F.col("html")).alias("links"), all_.alias("all"))
+    return p.select("page_id", "all", F.explode("links").alias("link")).select("page_id", "link", (F.array_position("all", F.col("link")) - 1).alias("pos"))
+
+
+@query("url_canonical", f"select page_id, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) || '://' || {_HOST} || regexp_replace({_PATH}, '/+', '/', 'g') || {_QRY} as normal, regexp_replace({_HOST}, '^www\\.', '') || regexp_replace(regexp_replace({_PATH}, '/+', '/', 'g'), '/+$', '') || {_QRY} as key from pages")
+def _(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", web.normal_url(F.col("url")).alias("normal"), web.canonical(F.col("url")).alias("key"))
+
+
+_LAST = f"regexp_extract({_PATH}, '([^/]*)/*$', 1)"
+
+
+@query("url_parts", f"select page_id, {_HOST} as host, array_to_string(list_filter(string_split({_PATH}, '/'), lambda x: x != ''), '|') as segments, lower(regexp_extract({_LAST}, '\\.([A-Za-z0-9]{{1,5}})$', 1)) as ext, regexp_replace({_LAST}, '\\.[A-Za-z0-9]{{1,5}}$', '') as stem from pages")
+def _(spark, sf):
+    stem, ext = web.stem_and_extension(F.col("url"))
+    return _table(spark, sf, "pages").select("page_id", web.host(F.col("url")).alias("host"), F.array_join(web.segments(F.col("url")), "|").alias("segments"), ext.alias("ext"), stem.alias("stem"))
+
+
+@query("host_filter", f"select page_id from (select page_id, regexp_replace({_HOST}, '^www\\.', '') as h from pages) where (h = 'example.com' or h like '%.example.com' or h = 'example.org' or h like '%.example.org') and not (h like 'm.%' or h like 'blog.%')")
+def _(spark, sf):
+    return _table(spark, sf, "pages").where(web.in_domains(F.col("url"), ("example.com", "example.org"), ("m.", "blog."))).select("page_id")
+
+
+_STEM = f"trim(regexp_replace(lower(regexp_replace({_LAST}, '\\.[A-Za-z0-9]{{1,5}}$', '')), '[^a-z0-9]+', ' ', 'g'), ' ')"
+
+
+@query("doc_type_score", f"""with t as (select page_id, url, case when regexp_matches({_PATH}, '^/*$') then 'altro' when regexp_matches({_STEM}, '^1') or false then 'programma' else 'comunicato' end as type from pages)
+select page_id, type, case type when 'programma' then 100 when 'comunicato' then 10 else 0 end + case when contains(url, '2022') then 5 else 0 end as score from t""")
+def _(spark, sf):
+    kind = F.when(F.size(web.segments(F.col("url"))) == 0, "altro").when(web.plain_form(web.stem_and_extension(F.col("url"))[0]).rlike("^1"), "programma").otherwise("comunicato")
+    return _table(spark, sf, "pages").select("page_id", "url", kind.alias("type")).select("page_id", "type", web.relevance(F.col("type"), F.col("url"), ("2022",)).alias("score"))
+
+
+@query("document_type", f"select page_id, case when regexp_matches({_PATH}, '^/*$') then 'altro' else 'comunicato' end as type from pages")
+def _(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", web.document_type(F.col("url"), F.lit("home page"), ("programma", "proposte"), ("privacy", "cookie")).alias("type"))
+
+
+@query("supported_documents", f"select page_id from pages where lower(regexp_extract({_LAST}, '\\.([A-Za-z0-9]{{1,5}})$', 1)) not in ('html')")
+def _(spark, sf):
+    return _table(spark, sf, "pages").where(web.is_document(F.col("url"), ("html",))).select("page_id")
+
+
+@query("latest_capture_month", "select user_id, strftime(ts, '%Y-%m') as month, max(ts) as ts, count(*) as captures from events group by all")
+def _(spark, sf):
+    e = _table(spark, sf, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
+    return e.groupBy("user_id", "month").agg(F.max("ts").alias("ts"), F.count("*").alias("captures"))
+
+
+@query("capture_index", "select page_id, url as original, strftime(timestamp '2024-01-01' + interval 1 day * cast(page_id % 300 as integer), '%Y%m%d%H%M%S') as timestamp from pages")
+def _(spark, sf):
+    ts = F.date_format(F.timestamp_add("DAY", (F.col("page_id") % 300).cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")), "yyyyMMddHHmmss")
+    body = F.to_json(F.array(F.array(F.lit("timestamp"), F.lit("original")), F.array(ts, F.col("url"))))
+    rows = _table(spark, sf, "pages").select("page_id", F.explode(web.capture_rows(body)).alias("r"))
+    return rows.select("page_id", F.col("r")["original"].alias("original"), F.col("r")["timestamp"].alias("timestamp"))
+
+
+# ---- elections, bills, polls
+
+_VOTES = "v as (select c_mktsegment as list, n_name as place, case when l_linenumber = 7 then 'n.d.' else cast(cast(l_quantity as bigint) as varchar) end as votes, strftime(o_orderdate, '%Y-%m-%d') as date from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
+
+
+def _votes(spark, sf):
+    li, o, c, n = (_table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))
+    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return j.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("DATAELEZIONE"), F.lit("x").alias("CIRC-REG"), F.col("n_name").alias("COMUNE"), F.when(F.col("l_linenumber") == 7, "n.d.").otherwise(F.col("l_quantity").cast("long").cast("string")).alias("VOTILISTA"), F.col("c_mktsegment").alias("DESCRLISTA"))
+
+
+@query("election_totals", f"with {_VOTES} select list, cast(coalesce(sum(try_cast(votes as bigint)), 0) as bigint) as votes, count(distinct place) as places, count(*) filter (try_cast(votes as bigint) is null) as unread, min(date) as first_date, 100.0 * sum(try_cast(votes as bigint)) / sum(sum(try_cast(votes as bigint))) over () as percent from v group by list")
+def _(spark, sf):
+    return public.national_totals(public.election_rows(_votes(spark, sf)))
+
+
+@query("first_row_collapse", "select l_orderkey, arg_min(l_partkey, l_linenumber) as l_partkey, arg_min(l_shipdate, l_linenumber) as l_shipdate, count(*) as merged from lineitem group by l_orderkey")
+def _(spark, sf):
+    return public.collapse(_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber"), "l_orderkey", "l_linenumber").drop("l_linenumber")
+
+
+@query("keyset_page", "select o_orderkey, o_orderstatus from orders where o_orderkey > 100 order by o_orderkey limit 50")
+def _(spark, sf):
+    return public.page_after(_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 100, 50)
+
+
+@query("upper_median", "select o_orderpriority, count(*) as n, min(o_totalprice) as min, list_sort(list(o_totalprice))[count(*) // 2 + 1] as upper_median, max(o_totalprice) as max from orders group by o_orderpriority")
+def _(spark, sf):
+    return serve.upper_medians(_table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice")
+
+
+_POLL = "p as (select cast(ts as date) as day, event_type, case when event_type = 'view' then null else event_type end as party, value from events)"
+
+
+@query("poll_normalise", f"with {_POLL}, n as (select cast(day as varchar) as day, party, sum(value) as raw from p where party is not null and value is not null group by all) select day, party, raw, sum(raw) over (partition by day) as base, 100.0 * raw / sum(raw) over (partition by day) as share from n qualify sum(raw) over (partition by day) > 0")
+def _(spark, sf):
+    e = _table(spark, sf, "events").select(F.to_date("ts").cast("string").alias("day"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("party"), "value")
+    return public.poll_shares(e, ["day"])
+
+
+_SAL = {"click": "a", "purchase": "b", "login": "a", "view": "c"}
+_SALQ = "s as (select strftime(ts, '%Y-%m-%d') as month, case event_type when 'click' then 'a' when 'purchase' then 'b' when 'login' then 'a' when 'view' then 'c' end as theme, max(value) as value from events group by all), m as (select * from s where theme is not null), q as (select month, theme, max(value) as value from m group by all)"
+
+
+def _salience(spark, sf):
+    return public.salience(_table(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("month"), F.col("event_type").alias("item"), "value"), _SAL)
+
+
+@query("salience_max_month", f"with {_SALQ} select month, theme, value from q")
+def _(spark, sf):
+    return _salience(spark, sf)
+
+
+@query("fullest_month", f"with {_SALQ}, c as (select month, count(*) as n from q group by month) select month, n as themes from c order by n desc, month desc limit 1")
+def _(spark, sf):
+    return public.fullest_month(_salience(spark, sf))
+
+
+@query("rank_gap", f"with {_SALQ}, r as (select *, row_number() over (partition by month order by value desc, theme) as k from q), d as (select min(month) as a, max(month) as b from q) select cast(coalesce(sum(abs(x.k - y.k)), 0) as bigint) as gap, count(*) as themes from r x join r y using (theme), d where x.month = d.a and y.month = d.b")
+def _(spark, sf):
+    r = public.ranks(_salience(spark, sf), ["month"], "value", "theme")
+    ends = r.agg(F.min("month").alias("a"), F.max("month").alias("b"))
+    both = r.join(F.broadcast(ends), (F.col("month") == F.col("a")) | (F.col("month") == F.col("b")))
+    return public.rank_gap(both.where("month = a"), both.where("month = b"), "theme")
+
+
+# ---- serving
+
+
+@query("melt_layers", f"{LAYER_SHARES}, w as (select category, {_WIDE} from shares group by category) select category, layer, share from (unpivot w on documents, conversations, benchmark into name layer value share)")
+def _(spark, sf):
+    wide = mapping.comparison(mapping.shares(_units(spark, sf), ["layer"]), LAYERS).select("category", *LAYERS)
+    return serve.melted(wide, ["category"], LAYERS)
+
+
+@query("pivot_layers", f"{LAYER_SHARES} select category, max(share) filter (layer = 'documents') as documents, max(share) filter (layer = 'conversations') as conversations, max(share) filter (layer = 'benchmark') as benchmark from shares group by category")
+def _(spark, sf):
+    return serve.pivoted(mapping.shares(_units(spark, sf), ["layer"]), ["category"], "layer", LAYERS, "share")
+
+
+@query("quadrant", "with s as (select source, count(*) as n, avg(n_chars) as x, avg(length(text) - length(replace(text, 'the', ''))) as y from documents group by source), m as (select median(x) as mx, median(y) as my from s) select source, x, y, case when x >= mx then 'high' else 'low' end || '-' || case when y >= my then 'high' else 'low' end as quadrant from s, m")
+def _(spark, sf):
+    d = _table(spark, sf, "documents").groupBy("source").agg(F.avg("n_chars").alias("x"), F.avg(F.length("text") - F.length(F.replace("text", F.lit("the"), F.lit("")))).alias("y"))
+    return serve.quadrants(d, "x", "y")
+
+
+@query("signed_gap", f"{LAYER_SHARES}, w as (select category, {_WIDE} from shares group by category) select category, documents, conversations, conversations - documents as gap, abs(conversations - documents) >= 4 as emphasis from w")
+def _(spark, sf):
+    wide = mapping.comparison(mapping.shares(_units(spark, sf), ["layer"]), LAYERS).select("category", "documents", "conversations")
+    return serve.signed_gap(wide, "documents", "conversations")
+
+
+@query("peak_month", "with m as (select event_type, strftime(ts, '%Y-%m-%d') as day, sum(value) as v from events where value is not null group by all) select event_type, arg_min(day, (-v, day)) as peak from m group by event_type")
+def _(spark, sf):
+    m = _table(spark, sf, "events").where("value is not null").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("value").alias("v"))
+    return serve.peak(m, ["event_type"], "day", "v").select("event_type", "peak")
+
+
+@query("radar_coords", "with v as (select cast(substr(source, 4) as integer) as i, count(*) as n from documents group by source) select i, least(n / 50.0, 1.0) * sin(2 * pi() * i / 20.0) as x, least(n / 50.0, 1.0) * cos(2 * pi() * i / 20.0) as y from v")
+def _(spark, sf):
+    v = _table(spark, sf, "documents").groupBy(F.substring("source", 4, 9).cast("int").alias("i")).agg(F.count("*").alias("n"))
+    x, y = serve.polar(F.col("i"), 20, F.col("n"), 50.0)
+    return v.select("i", x.alias("x"), y.alias("y"))
+
+
+@query("top_sources", "select source, count(*) as n from documents group by source order by n desc, source limit 20")
+def _(spark, sf):
+    return serve.top_values(_table(spark, sf, "documents"), "source", 20)
+
+
+@query("exploded_counts", "select value, count(*) as n from (select unnest(string_split(role, 's')) as value from conversations) group by value")
+def _(spark, sf):
+    return serve.exploded_counts(_table(spark, sf, "conversations").select(F.split("role", "s").alias("a")), "a")
+
+
+# ---- incremental
+
+
+@query("incremental_new_urls", "select 'doc:' || doc_id as url from documents where doc_id % 4 = 0 and doc_id % 8 != 0")
+def _(spark, sf):
+    from sieveloom.streaming import incremental
+
+    d = _docs(spark, sf)
+    return incremental.new_rows(d.where("ord % 8 = 0"), d.where("ord % 4 = 0"), ["url"]).select("url")
+
+
+@query("accumulate_merge", "select user_id, event_type, count(*) as n from (select distinct user_id, event_type, cast(ts as date) as d from events) group by all")
+def _(spark, sf):
+    from sieveloom.streaming import incremental
+
+    e = _table(spark, sf, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("d"))
+    keys = ["user_id", "event_type", "d"]
+    first = schema.keep_first(e.where("event_id % 2 = 0"), keys, ["event_id"])
+    return incremental.accumulated(first, e.where("event_id % 2 = 1"), keys, ["event_id"]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("monthly_window", "select event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n from events where ts >= (select max(ts) from events) - interval 182 day group by all")
+def _(spark, sf):
+    from sieveloom.streaming import incremental
+
+    e = _table(spark, sf, "events")
+    return incremental.sliding(e, "ts", 182).groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+# ---- scalar functions
+
+
+@query("model_text", r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '[^a-zàèéìòóù\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ') as t from documents")
+def _(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", X.model_form(F.col("text")).alias("t"))
+
+
+@query("excerpts", r"select doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 500) as t from documents")
+def _(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", X.excerpt(F.col("text")).alias("t"))
+
+
+@query("plain_text_form", r"select doc_id, trim(regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' '), '[^a-z0-9]+', ' ', 'g'), ' ') as t from documents")
+def _(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", X.plain_form(F.col("text")).alias("t"))
+
+
+@query("text_fingerprint", f"select doc_id, {_MARK} as mark from documents")
+def _(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", X.fingerprint(F.col("text")).alias("mark"))
+
+
+@query("iso_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as a, strftime(o_orderdate, '%Y-%m-%d') as b, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as c from orders")
+def _(spark, sf):
+    o = _table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").alias("x"), F.date_format("o_orderdate", "d/M/yyyy HH:mm:ss").alias("y"), F.date_format("o_orderdate", "yyyyMMddHHmmss").alias("z"))
+    return o.select("o_orderkey", X.iso_from_compact(F.col("x")).alias("a"), X.iso_from_dmy(F.col("y")).alias("b"), web.iso_from_capture(F.col("z")).alias("c"))
+
+
+@query("decimal_comma", "select s_suppkey, replace(printf('%.1f', s_acctbal), '.', ',') as t from supplier")
+def _(spark, sf):
+    return _table(spark, sf, "supplier").select("s_suppkey", X.decimal_comma(F.col("s_acctbal")).alias("t"))
+
+
+@query("first_field", "select c_custkey, coalesce(nullif(case when c_custkey % 2 = 0 then '' end, ''), nullif(c_mktsegment, ''), c_name) as t from customer")
+def _(spark, sf):
+    return _table(spark, sf, "customer").select("c_custkey", web.story_domain(F.when(F.col("c_custkey") % 2 == 0, F.lit("")), F.col("c_mktsegment"), F.col("c_name")).alias("t"))
+
+
+@query("institute_names", "select c_custkey, c_mktsegment as t from (select c_custkey, upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) as c_mktsegment from customer)")
+def _(spark, sf):
+    return _table(spark, sf, "customer").select("c_custkey", X.institute(F.concat("c_mktsegment", F.lit(" S.p.A."))).alias("t"))
+
+
+@query("act_titles", r"select o_orderkey, 'norme in materia di ' || lower(o_orderpriority) || ' e altro' as t from orders")
+def _(spark, sf):
+    raw = F.concat(F.lit("ROSSI ed altri: <b>&quot;norme in materia di "), F.lower("o_orderpriority"), F.lit(" e altro&quot;</b> ("), F.col("o_orderkey").cast("string"), F.lit(")"))
+    return _table(spark, sf, "orders").select("o_orderkey", X.act_title(raw).alias("t"))
+
+
+@query("party_labels", "select o_orderkey, case when o_orderstatus = 'F' then 'one' when o_orderstatus = 'O' then 'two' end as party from orders where o_orderpriority not like '%NOT%' union all select o_orderkey, null from orders where o_orderpriority like '%NOT%'")
+def _(spark, sf):
+    label = F.concat(F.col("o_orderstatus"), F.lit(" "), F.col("o_orderpriority"))
+    return _table(spark, sf, "orders").select("o_orderkey", public.recognised(label, {"one": (r"^F\b",), "two": (r"^O\b", r"^Q\b")}, "NOT").alias("party"))
+
+
+@query("pixel_cap", "select page_id, greatest(36, cast(floor(case when px > 6000000 then 200 * sqrt(6000000.0 / px) else 200 end) as integer)) as dpi, length(html) < 2000 as needs from (select page_id, html, length(html) * 2000.0 as px from pages)")
+def _(spark, sf):
+    from sieveloom.sources import documents as docs_
+
+    p = _table(spark, sf, "pages").select("page_id", "html", (F.length("html") * 2000.0).alias("px"))
+    return p.select("page_id", docs_.effective_dpi(F.col("px"), 200, 6_000_000).alias("dpi"), docs_.needs_recognition(F.col("html"), 2000).alias("needs"))
+
+
+_ = Window
