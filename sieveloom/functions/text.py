@@ -149,10 +149,14 @@ def institute(name: Column) -> Column:
 STOP_WORDS = {"en": "the and of to in that is for with as", "fr": "le la les de des et que qui pour est", "de": "der die das und ist von mit den ein nicht", "es": "el los las que y del por una con para", "it": "il di che e per un del con sono della"}
 
 
+def _among(words: list[str]):
+    return lambda w: w.isin(*words)
+
+
 def language(text: Column, profiles: dict[str, str] = STOP_WORDS) -> Column:
     """The language whose frequent words are most of the text's, ties by order; `unknown` without any."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    scored = [F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(own.split()))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, own) in enumerate(profiles.items())]
+    scored = [F.struct(F.size(F.filter(words, _among(own.split()))).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, own) in enumerate(profiles.items())]
     best = F.array_max(F.array(*scored))
     return F.when(best["n"] > 0, best["k"]).otherwise("unknown")
 

@@ -60,13 +60,13 @@ def concentration(df: DataFrame, threshold: float) -> DataFrame:
 
 def monthly(df: DataFrame) -> DataFrame:
     """(topic_id, month, articles); dates that cannot be read are left out."""
-    month = F.date_format(F.try_to_date("seendate", F.lit("yyyy-MM-dd")), "yyyy-MM")
+    month = F.date_format(F.try_to_timestamp("seendate", F.lit("yyyy-MM-dd")).cast("date"), "yyyy-MM")
     return df.select("topic_id", month.alias("month")).where("month is not null").groupBy("topic_id", "month").agg(F.count("*").alias("articles"))
 
 
 def date_ranges(df: DataFrame) -> DataFrame:
     """(topic_id, first, last, months): months as JSON, sorted."""
-    day = df.select("topic_id", F.try_to_date("seendate", F.lit("yyyy-MM-dd")).alias("d")).where("d is not null").groupBy("topic_id").agg(F.min("d").alias("first"), F.max("d").alias("last"))
+    day = df.select("topic_id", F.try_to_timestamp("seendate", F.lit("yyyy-MM-dd")).cast("date").alias("d")).where("d is not null").groupBy("topic_id").agg(F.min("d").alias("first"), F.max("d").alias("last"))
     pairs = monthly(df).groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("month", "articles"))).alias("m"))
     return day.join(pairs, "topic_id").select("topic_id", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"), F.to_json(F.map_from_entries("m")).alias("months"))
 

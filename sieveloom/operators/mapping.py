@@ -67,7 +67,7 @@ def comparison(shares_: DataFrame, layers: list[str]) -> DataFrame:
 
 def counts_by_theme(units: DataFrame, keys: list[str], themes: list[str]) -> DataFrame:
     """Wide counts: one column a category of a fixed list."""
-    return units.groupBy(*keys).pivot("category", themes).agg(F.count("*")).na.fill(0)
+    return units.groupBy(*keys).pivot("category", themes).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def coverage(units: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,7 +25,7 @@ def national_totals(rows: DataFrame) -> DataFrame:
     return out.withColumn("percent", F.when(whole > 0, 100.0 * F.col("votes") / whole).otherwise(0.0))
 
 
-def collapse(rows: DataFrame, key: str, order: str = "ord") -> DataFrame:
+def collapse(rows: DataFrame, key: str, order: str | Column = "ord") -> DataFrame:
     """The first row of each key, and how many rows it had as `merged`."""
     rest = [c for c in rows.columns if c != key]
     out = rows.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("r"), F.count("*").alias("merged"))
