@@ -7,6 +7,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 import weakref
 import zipfile
@@ -55,8 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends
-    there, so that a lost executor costs no recomputation of what came before, and the
-    shuffle files of what came before are dropped."""
+    there, so that a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sieveloom-{uuid.uuid4().hex}"
     schema = df.schema
@@ -64,12 +64,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(drop_written)
     _written.append((weakref.ref(spark), path))
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once their plans are collected
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle files of finished steps now: Spark does so once their plans are collected, which the driver
+    otherwise does when its own memory runs short, however full the executors' disks are."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def drop_written() -> None:
     """Remove the tables that cut() wrote; call it when their results are no longer needed."""
     while _written:

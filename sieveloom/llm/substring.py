@@ -11,8 +11,8 @@ earlier is covered; covered words are removed.
 
 Shuffles: one of anchors (4/13 of the words), two of the texts by id, one of the windows
 around repeated anchors; each is written out and its shuffle files dropped before the next. Texts equal to an earlier one are settled without windows.
-A third of all documents may share a passage: each of its anchors and windows is then a
-sixth-of-a-percent key, counted in a spillable sort, and no pairs are formed.
+What a task has several times of an anchor or a window leaves it as one row, so a passage in
+a third of all documents is a key of one row for each task; no pairs are formed.
 
 Edge cases: null and empty texts have no words; texts under 20 words lose nothing; rows
 without an id lose nothing and cover nothing; repeated rows (same id and text) count as
@@ -42,15 +42,35 @@ def cover_places(n: int) -> np.ndarray:
     return np.flatnonzero(_COVER[np.arange(max(0, n - ANCHOR + 1)) % PERIOD])
 
 
+def _firsts(i: np.ndarray, p: np.ndarray, *h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows that are the first of their hash, by id and place; how many each has; the other rows)."""
+    order = np.lexsort((p, i, *reversed(h)))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in h:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    return order[new], np.diff(np.append(np.flatnonzero(new), len(order))), order[~new]
+
+
+def _known(i: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, list]:
+    """(ids, places of each)."""
+    order = np.lexsort((p, i))
+    ids, first = np.unique(i[order], return_index=True)
+    return ids, np.split(p[order], first[1:]) if len(ids) else []
+
+
 def anchors(texts: DataFrame) -> DataFrame:
-    """(hash, id, place) of every anchor of the texts that have a whole window."""
+    """(hash, id, place, n, known): the anchors of the texts that have a whole window.
+
+    What a task has more than once of a hash is one row, its first, with their number n; the other places are known to be
+    repeated, and go as one row per document (place null) whose hash only spreads them."""
 
     def run(batches):
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), c.as_bytes(b.column(1))
+            h, i, p = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, words, at in c.hashed_docs(texts):
                 wins = c.window_hashes(words, ANCHOR)
-                h, i, p = [], [], []
                 for j in range(len(at) - 1):
                     n = at[j + 1] - at[j]
                     if n >= WINDOW:
@@ -58,21 +78,37 @@ def anchors(texts: DataFrame) -> DataFrame:
                         h.append(wins[at[j] + place])
                         p.append(place)
                         i.append(np.full(len(place), ids[lo + j], np.int64))
-                if h:
-                    yield pa.RecordBatch.from_arrays([pa.array(c.signed(np.concatenate(h))), pa.array(np.concatenate(i)), pa.array(np.concatenate(p).astype(np.int32))], names=["hash", "id", "place"])
+            h, i, p = np.concatenate(h), np.concatenate(i), np.concatenate(p)
+            first, n, rest = _firsts(i, p, h)
+            first, n = first[k := np.lexsort((p[first], i[first]))], n[k]  # by document, which packs better
+            who, places = _known(i[rest], p[rest])
+            yield _rows(("hash", "id", "place", "n", "known"), (c.signed(h[first]), i[first], p[first], n), (c.signed(c.mix(who.view(np.uint64))), who, np.full(len(who), 2)), places)
 
-    return texts.mapInArrow(run, "hash long, id long, place int")
+    return texts.mapInArrow(run, "hash long, id long, place int, n int, known array<int>")
+
+
+def _rows(names, some, spread, places) -> pa.RecordBatch:
+    """Rows of firsts, then rows of known places."""
+    h, i, p, n = some
+    who = len(spread[1])
+    none = pa.nulls(len(i), pa.list_(pa.int32()))
+    cols = [
+        pa.array(np.concatenate([h, spread[0]])), pa.array(np.concatenate([i, spread[1]])), pa.concat_arrays([pa.array(p, pa.int32()), pa.nulls(who, pa.int32())]),
+        pa.array(np.concatenate([n, spread[2]]), pa.int32()), pa.concat_arrays([none, pa.array([x.astype(np.int32) for x in places], pa.list_(pa.int32()))]),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=list(names))
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(h1, h2, id, place) of every window that holds one of the places in `places`."""
+    """(h1, h2, id, place, known) of every window that holds one of the places in `places`; rows as in anchors(), those of
+    known places with the h2 -1 that no window has."""
 
     def run(batches):
         for b in batches:
             ids, texts, places = b.column(0).to_numpy(zero_copy_only=False), c.as_bytes(b.column(1)), b.column(2)
+            x, y, i, p = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, words, at in c.hashed_docs(texts):
                 one, two = c.window_hashes(words, WINDOW), c.window_hashes(c.mix(words ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
-                x, y, i, p = [], [], [], []
                 for j in range(len(at) - 1):
                     n = at[j + 1] - at[j] - WINDOW + 1
                     if n <= 0:
@@ -83,13 +119,21 @@ def windows(texts: DataFrame) -> DataFrame:
                     np.add.at(step, np.minimum(held + 1, n), -1)
                     start = np.flatnonzero(np.cumsum(step)[:n] > 0)
                     x.append(one[at[j] + start])
-                    y.append(two[at[j] + start])
+                    y.append((two[at[j] + start] >> np.uint64(33)).astype(np.int32))
                     p.append(start)
                     i.append(np.full(len(start), ids[lo + j], np.int64))
-                if x:
-                    yield pa.RecordBatch.from_arrays([pa.array(c.signed(np.concatenate(x))), pa.array((np.concatenate(y) >> np.uint64(33)).astype(np.int32)), pa.array(np.concatenate(i)), pa.array(np.concatenate(p).astype(np.int32))], names=["h1", "h2", "id", "place"])
+            x, y, i, p = np.concatenate(x), np.concatenate(y), np.concatenate(i), np.concatenate(p)
+            first, _, rest = _firsts(i, p, x, y)
+            first = first[np.lexsort((p[first], i[first]))]
+            who, known = _known(i[rest], p[rest])
+            yield _rows(("h1", "id", "place", "h2", "known"), (c.signed(x[first]), i[first], p[first], y[first]), (c.signed(c.mix(who.view(np.uint64))), who, np.full(len(who), -1)), known)
+
+    return texts.mapInArrow(run, "h1 long, id long, place int, h2 int, known array<int>")
+
 
-    return texts.mapInArrow(run, "h1 long, h2 int, id long, place int")
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(id, places): single places and known ones of each document."""
+    return rows.groupBy("id").agg(F.array_distinct(F.concat(F.collect_list("place"), F.flatten(F.collect_list("known")))).alias("places"))
 
 
 def covered(texts: DataFrame) -> DataFrame:
@@ -98,11 +142,12 @@ def covered(texts: DataFrame) -> DataFrame:
     texts = texts.withColumn("same", F.md5("text"))
     first = texts.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("same", "first")
     copies = c.cut(texts.select("id", "same").join(first, "same").where("id != first").select("id").distinct())
-    often = anchors(texts.select("id", "text")).select("id", "place", F.count("*").over(Window.partitionBy("hash")).alias("n")).where("n > 1")
-    found = c.cut(often.groupBy("id").agg(F.collect_list("place").alias("places")).join(copies, "id", "left_anti"))
-    near = texts.select("id", "text").join(found, "id").select("id", "text", "places")
-    seen = windows(near).withColumn("first", F.min(F.struct("id", "place")).over(Window.partitionBy("h1", "h2")))
-    later = c.cut(seen.where("first.id != id or first.place != place").groupBy("id").agg(F.collect_set("place").alias("places")))
+    c.release(texts.sparkSession)
+    found = c.cut(_gathered(anchors(texts.select("id", "text")).withColumn("n", F.sum("n").over(Window.partitionBy("hash"))).where("n > 1")).join(copies, "id", "left_anti"))
+    c.release(texts.sparkSession)
+    seen = windows(texts.select("id", "text").join(found, "id").select("id", "text", "places")).withColumn("first", F.min(F.struct("id", "place")).over(Window.partitionBy("h1", "h2")))
+    later = c.cut(_gathered(seen.where("known is not null or first.id != id or first.place != place").select("id", "place", "known")))
+    c.release(texts.sparkSession)
     return later.unionByName(copies.select("id", F.lit(None).cast("array<int>").alias("places")))
 
 
