@@ -11,7 +11,9 @@ bucket no pairs are enumerated: in round r some 8**(r+1) members, drawn by hash,
 centres, compared with the members after them in hash order that are not yet in the same
 component. Rounds go on until every bucket either is one component or has had all its
 members as centres, so no link is lost to a large bucket, while a bucket of near copies
-merges after one or two rounds.
+merges after one or two rounds. Shingles that a single set has cannot be shared, so two
+sets share at most the smaller number of their others; pairs for which that is too few
+are not formed, and sets for which it is always too few leave all buckets.
 
 With four registers a band and 24 bands, a pair at similarity 0.8 shares no bucket with
 probability 3e-6; the estimate is passed down to 5 standard errors under the threshold.
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from sieveloom.llm import common as c
 
 REGISTERS, ROWS, MANTISSA = 96, 4, 10
+#: Pairs whose ids are broadcast: at most two longs for each.
+FEW = 500_000
 _rng = np.random.default_rng(41)
 _FLIP = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -147,7 +151,13 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
         return None
     some = members.select("id").distinct()
     sets = c.cut(full_sets(texts.join(some, "id").groupBy("id").agg(F.first("text", True).alias("text")), k))
-    regs = classes.join(some, "id", "left_semi").select("id", "n", "regs")
+    regs = c.cut(classes.join(some, "id", "left_semi").select("id", "n", "regs"))
+    c.release(classes.sparkSession)
+    # shingles that no other set has can be shared with none
+    lone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    common = regs.select("id", "n").join(lone.groupBy("id").agg(F.count("*").alias("lone")), "id", "left")
+    common = common.select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * percent)
+    members = c.cut(members.join(common, "id"))
     edges, component, r = None, None, 0
     while True:
         at = members
@@ -157,11 +167,14 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
             at = at.withColumn("component", F.col("id"))
         lo, hi = (0.0 if r == 0 else float(8**r)), float(8 ** (r + 1))
         centre = at.where((F.col("turn") >= F.lit(lo) / F.col("size")) & (F.col("turn") < F.lit(hi) / F.col("size")))
-        centre = centre.select("bucket", F.col("id").alias("a"), F.col("turn").alias("first"), F.col("component").alias("ca"))
-        pairs = centre.join(at, "bucket").where("component != ca and (turn > first or (turn = first and id > a))")
+        centre = centre.select("bucket", F.col("id").alias("a"), F.col("turn").alias("first"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("common").alias("ka"))
+        shared = F.least("ka", "common")  # at most
+        able = shared * 100 >= (F.col("na") + F.col("n") - shared) * percent
+        pairs = centre.join(at, "bucket").where("component != ca and (turn > first or (turn = first and id > a))").where(able)
         pairs = c.cut(pairs.select("a", F.col("id").alias("b")).distinct())
         good = c.cut(confirmed(pairs, regs, sets, percent))
         edges = good if edges is None else edges.union(good)
+        c.release(classes.sparkSession)
         component = c.components(edges)
         # buckets that have members left to be centres and are not yet one component
         left = members.where(F.col("size") > hi)
@@ -173,16 +186,24 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
         r += 1
 
 
+def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of table that pairs need: found by a broadcast of their ids where these are at most FEW."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return table.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) among pairs that are similar: first by the estimate, then on the full sets."""
     p = percent / 100
     floor = p - 5 * math.sqrt(p * (1 - p) / REGISTERS)
-    side = lambda x: regs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
+    own = _of(regs, pairs)
+    side = lambda x: own.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     agree = F.aggregate(F.zip_with("ra", "rb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.lit(float(REGISTERS))
     by_chance = F.lit(chance(1, 1) * 4) * F.col("na") * F.col("nb") / ((F.col("na") + F.col("nb")) * (F.col("na") + F.col("nb")))
-    near = near.where((agree - by_chance) / (1 - by_chance) >= floor).select("a", "b")
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+    near = c.cut(near.where((agree - by_chance) / (1 - by_chance) >= floor).select("a", "b"))
+    full = _of(sets, near)
+    side = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
     full = near.join(side("a"), "a").join(side("b"), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return full.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
