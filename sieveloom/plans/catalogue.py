@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sieveloom import schema
@@ -28,8 +27,18 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(df):
+    """Rows dealt evenly where a table is fewer files than there are cores; tables of many files are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _docs(spark, sf):
-    return schema.corpus(_table(spark, sf, "documents"))
+    return schema.corpus(_spread(_table(spark, sf, "documents")))
+
+
+def _pages(spark, sf):
+    return _spread(_table(spark, sf, "pages"))
 
 
 def _topics(spark, sf):
@@ -51,7 +60,7 @@ def _review(spark, sf):
 
 def _units(spark, sf):
     """The three layers as units with classes."""
-    d = _table(spark, sf, "documents").select(F.lit("documents").alias("layer"), F.col("doc_id").alias("ord"), "text")
+    d = _spread(_table(spark, sf, "documents")).select(F.lit("documents").alias("layer"), F.col("doc_id").alias("ord"), "text")
     t = _table(spark, sf, "conversations").select(F.lit("conversations").alias("layer"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "text")
     b = _table(spark, sf, "benchmark").select(F.lit("benchmark").alias("layer"), F.col("item_id").alias("ord"), "text")
     return TAX.classified(d.unionByName(t).unionByName(b))
@@ -613,12 +622,12 @@ _BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ''
 
 @query("html_title_meta", f"select page_id, {_untag(chr(39).join(['regexp_extract(html, ', '(?is)<title[^>]*>(.*?)</title>', ', 1)']))} as title, coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*name=\"description\"[^>]*content=\"([^\"]*)\"', 1), ''), regexp_extract(html, '(?is)<meta[^>]*property=\"og:description\"[^>]*content=\"([^\"]*)\"', 1)) as description from pages")
 def _(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", web.page_title(F.col("html")).alias("title"), web.meta_description(F.col("html")).alias("description"))
+    return _pages(spark, sf).select("page_id", web.page_title(F.col("html")).alias("title"), web.meta_description(F.col("html")).alias("description"))
 
 
 @query("html_paragraph_text", f"select page_id, array_to_string(list_filter(list_transform(regexp_extract_all({_BARE}, '(?is)<p(?: [^>]*)?>(.*?)</p>', 1), lambda x: {_untag('x')}), lambda x: x != ''), chr(10)) as text from pages")
 def _(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", web.paragraph_text(F.col("html")).alias("text"))
+    return _pages(spark, sf).select("page_id", web.paragraph_text(F.col("html")).alias("text"))
 
 
 _LINKS = "regexp_extract_all(html, '(?i)<(?:a|iframe|embed|object)\\s[^>]*?(?:href|src|data)=\"([^\"]*)\"', 1)"
@@ -627,7 +636,7 @@ _LINKS = "regexp_extract_all(html, '(?i)<(?:a|iframe|embed|object)\\s[^>]*?(?:hr
 @query("html_links", f"select page_id, link, min(pos) as pos from (select page_id, unnest({_LINKS}) as link, unnest(range(len({_LINKS}))) as pos from pages) where link != '' group by all")
 def _(spark, sf):
     all_ = F.regexp_extract_all("html", F.lit(r"(?i)<(?:a|iframe|embed|object)\s[^>]*?(?:href|src|data)=\"([^\"]*)\""), F.lit(1))
-    p = _table(spark, sf, "pages").select("page_id", web.links(F.col("html")).alias("links"), all_.alias("all"))
+    p = _pages(spark, sf).select("page_id", web.links(F.col("html")).alias("links"), all_.alias("all"))
     return p.select("page_id", "all", F.explode("links").alias("link")).select("page_id", "link", (F.array_position("all", F.col("link")) - 1).alias("pos"))
 
 
@@ -833,22 +842,22 @@ def _(spark, sf):
 
 @query("model_text", r"select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'https?://\S+|www\.\S+', ' ', 'g'), '[^a-zàèéìòóù\s]', ' ', 'g'), '\s+', ' ', 'g'), ' ') as t from documents")
 def _(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", X.model_form(F.col("text")).alias("t"))
+    return _spread(_table(spark, sf, "documents")).select("doc_id", X.model_form(F.col("text")).alias("t"))
 
 
 @query("excerpts", r"select doc_id, substr(trim(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 500) as t from documents")
 def _(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", X.excerpt(F.col("text")).alias("t"))
+    return _spread(_table(spark, sf, "documents")).select("doc_id", X.excerpt(F.col("text")).alias("t"))
 
 
 @query("plain_text_form", r"select doc_id, trim(regexp_replace(trim(regexp_replace(strip_accents(lower(text)), '[\s\x{85}\p{Z}]+', ' ', 'g'), ' '), '[^a-z0-9]+', ' ', 'g'), ' ') as t from documents")
 def _(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", X.plain_form(F.col("text")).alias("t"))
+    return _spread(_table(spark, sf, "documents")).select("doc_id", X.plain_form(F.col("text")).alias("t"))
 
 
 @query("text_fingerprint", f"select doc_id, {_MARK} as mark from documents")
 def _(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", X.fingerprint(F.col("text")).alias("mark"))
+    return _spread(_table(spark, sf, "documents")).select("doc_id", X.fingerprint(F.col("text")).alias("mark"))
 
 
 @query("iso_dates", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as a, strftime(o_orderdate, '%Y-%m-%d') as b, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') as c from orders")
@@ -891,5 +900,3 @@ def _(spark, sf):
     p = _table(spark, sf, "pages").select("page_id", "html", (F.length("html") * 2000.0).alias("px"))
     return p.select("page_id", docs_.effective_dpi(F.col("px"), 200, 6_000_000).alias("dpi"), docs_.needs_recognition(F.col("html"), 2000).alias("needs"))
 
-
-_ = Window
