@@ -91,6 +91,7 @@ def _classes(source, extra):
     total, best = " + ".join(f"t{k}" for k in TAX.themes), f"greatest({', '.join(f't{k}' for k in TAX.themes)})"
     first = "case " + " ".join(f"when t{k} = best then {k}" for k in TAX.themes) + " end"
     form = r"regexp_replace(strip_accents(lower(text)), '[\s\x{85}\p{Z}]+', ' ', 'g')"
+    form = f"replace({form}, 'ß', 'z')"  # RE2 sees a word border beside a letter that is not ASCII
     for p in TAX.exclusions:
         form = f"regexp_replace({form}, '{p}', ' ', 'g')"
     return f"""forms as (select {extra}, {form} as form from {source}),
