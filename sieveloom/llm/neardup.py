@@ -6,14 +6,12 @@ in 15 bits. Registers are banded; texts that share a band's bucket are compared
 collision-corrected Jaccard estimate, and pairs that may reach the threshold are
 confirmed on the full sets. Groups are the connected components of confirmed links.
 
-Equal sets are one class from the start, so exact copies cost one row each. Within a
-bucket no pairs are enumerated: in round r some 8**(r+1) members, drawn by hash, are
-centres, compared with the members after them in hash order that are not yet in the same
-component. Rounds go on until every bucket either is one component or has had all its
-members as centres, so no link is lost to a large bucket, while a bucket of near copies
-merges after one or two rounds. Shingles that a single set has cannot be shared, so two
-sets share at most the smaller number of their others; pairs for which that is too few
-are not formed, and sets for which it is always too few leave all buckets.
+Equal sets are one class from the start, so exact copies cost one row each. A bucket is
+dealt into blocks of about BLOCK members; every two blocks meet in one unit of work, with
+registers and full sets. A unit compares its pairs by the estimate, leaves out those that
+already hang together within it or that an earlier band brings together, confirms the
+others on the full sets, and returns only the links of a spanning forest: no list of pairs
+is made, no unit grows with its bucket, and no link between components is lost.
 
 With four registers a band and 24 bands, a pair at similarity 0.8 shares no bucket with
 probability 3e-6; the estimate is passed down to 5 standard errors under the threshold.
@@ -38,8 +36,8 @@ from pyspark.sql import functions as F
 from sieveloom.llm import common as c
 
 REGISTERS, ROWS, MANTISSA = 96, 4, 10
-#: Pairs whose ids are broadcast: at most two longs for each.
-FEW = 500_000
+#: Members of a block; two blocks meet at a time.
+BLOCK = 256
 _rng = np.random.default_rng(41)
 _FLIP = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -142,71 +140,69 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
     """(node, component) of the classes that have links."""
-    spread = classes.select("id", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who")).where("size > 1")
-    shared = shared.groupBy("size", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "size")  # buckets of the same members count once
-    turn = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    members = c.cut(spread.join(shared, "bucket").select("bucket", "id", "size", turn.alias("turn")))
+    spark = classes.sparkSession
+    spread = classes.select("id", F.posexplode("bands").alias("band", "bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("band").alias("band")).where("size > 1")
+    # buckets of the same members count once, in the first band
+    shared = shared.groupBy("size", "who").agg(F.min_by("bucket", "band").alias("bucket"))
+    members = c.cut(spread.join(shared, "bucket").select("bucket", "band", "id", "size"))
     if members.isEmpty():
         return None
     some = members.select("id").distinct()
-    sets = c.cut(full_sets(texts.join(some, "id").groupBy("id").agg(F.first("text", True).alias("text")), k))
-    regs = c.cut(classes.join(some, "id", "left_semi").select("id", "n", "regs"))
-    c.release(classes.sparkSession)
-    # shingles that no other set has can be shared with none
-    lone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
-    common = regs.select("id", "n").join(lone.groupBy("id").agg(F.count("*").alias("lone")), "id", "left")
-    common = common.select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("common")).where(F.col("common") * 100 >= F.col("n") * percent)
-    members = c.cut(members.join(common, "id"))
-    edges, component, r = None, None, 0
-    while True:
-        at = members
-        if component is not None:
-            at = at.join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            at = at.withColumn("component", F.col("id"))
-        lo, hi = (0.0 if r == 0 else float(8**r)), float(8 ** (r + 1))
-        centre = at.where((F.col("turn") >= F.lit(lo) / F.col("size")) & (F.col("turn") < F.lit(hi) / F.col("size")))
-        centre = centre.select("bucket", F.col("id").alias("a"), F.col("turn").alias("first"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("common").alias("ka"))
-        shared = F.least("ka", "common")  # at most
-        able = shared * 100 >= (F.col("na") + F.col("n") - shared) * percent
-        pairs = centre.join(at, "bucket").where("component != ca and (turn > first or (turn = first and id > a))").where(able)
-        pairs = c.cut(pairs.select("a", F.col("id").alias("b")).distinct())
-        good = c.cut(confirmed(pairs, regs, sets, percent))
-        edges = good if edges is None else edges.union(good)
-        c.release(classes.sparkSession)
-        component = c.components(edges)
-        # buckets that have members left to be centres and are not yet one component
-        left = members.where(F.col("size") > hi)
-        left = left.join(component.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        members = c.cut(members.where(F.col("size") > hi).join(open_, "bucket", "left_semi"))
-        if members.isEmpty():
-            return component
-        r += 1
-
-
-def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of table that pairs need: found by a broadcast of their ids where these are at most FEW."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return table.join(F.broadcast(ids) if pairs.count() <= FEW else ids, "id", "left_semi")
-
-
-def confirmed(pairs: DataFrame, regs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) among pairs that are similar: first by the estimate, then on the full sets."""
-    p = percent / 100
-    floor = p - 5 * math.sqrt(p * (1 - p) / REGISTERS)
-    own = _of(regs, pairs)
-    side = lambda x: own.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    agree = F.aggregate(F.zip_with("ra", "rb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.lit(float(REGISTERS))
-    by_chance = F.lit(chance(1, 1) * 4) * F.col("na") * F.col("nb") / ((F.col("na") + F.col("nb")) * (F.col("na") + F.col("nb")))
-    near = c.cut(near.where((agree - by_chance) / (1 - by_chance) >= floor).select("a", "b"))
-    full = _of(sets, near)
-    side = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-    full = near.join(side("a"), "a").join(side("b"), "b")
-    both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return full.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
+    sets = full_sets(texts.join(some, "id").groupBy("id").agg(F.first("text", True).alias("text")), k)
+    sets = c.cut(sets.join(classes.select("id", "regs", "bands"), "id"))
+    c.release(spark)
+    blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
+    units = members.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    order = ["bucket", "lo", "hi"]
+    units = units.select("id", "band", "own", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sets, "id")
+    units = units.select("id", "band", "own", "regs", "bands", "shingles", *order).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+
+    def meet(batches):
+        name, held = None, []
+        for b in batches:
+            for row in zip(*(_values(b.column(i)) for i in range(b.num_columns)), strict=True):
+                if row[6:] != name:
+                    if len(held) > 1:
+                        yield from linked(name, held)
+                    name, held = row[6:], []
+                held.append(row[:6])
+        if len(held) > 1:
+            yield from linked(name, held)
+
+    def linked(name, held):
+        own, regs, bands, band = np.array([r[2] for r in held]), np.array([r[3] for r in held]), np.array([r[4] for r in held]), held[0][1]
+        size = np.array([len(r[5]) for r in held], np.float64)
+        forest, out, p = c.Forest(), [], percent / 100
+        floor = p - 5 * math.sqrt(p * (1 - p) / REGISTERS)
+        for i in range(1, len(held)):
+            agree = (regs[:i] == regs[i]).mean(axis=1)
+            by_chance = 4 * chance(1, 1) * size[:i] * size[i] / (size[:i] + size[i]) ** 2
+            near = (agree - by_chance) / (1 - by_chance) >= floor
+            near &= np.minimum(size[:i], size[i]) * 100 >= np.maximum(size[:i], size[i]) * percent
+            if name[1] != name[2]:
+                near &= own[:i] != own[i]
+            if band:  # a pair is looked at in the first band that brings it together
+                near &= ~(bands[:i, :band] == bands[i, :band]).any(axis=1)
+            at = np.flatnonzero(near)
+            for j in at[np.argsort(-agree[at], kind="stable")].tolist():
+                if forest.find(i) != forest.find(j):
+                    both = np.intersect1d(held[i][5], held[j][5], assume_unique=True).size
+                    if both * 100 >= (size[i] + size[j] - both) * percent:
+                        forest.join(i, j)
+                        out.append((held[i][0], held[j][0]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    return c.components(c.cut(units.mapInArrow(meet, "a long, b long")))
+
+
+def _values(column: pa.Array) -> list:
+    """Plain values; lists as arrays over the batch's memory."""
+    if pa.types.is_list(column.type):
+        flat, at = np.asarray(column.values), column.offsets.to_pylist()
+        return [flat[i:j] for i, j in zip(at, at[1:], strict=False)]
+    return column.to_pylist()
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
