@@ -42,6 +42,16 @@ def grams(text: str) -> set[str]:
     return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
 
 
+def lacks(runs: set[str], text: str, most: int) -> bool:
+    """Whether more than `most` of the runs are not in the text."""
+    for g in runs:
+        if g not in text:
+            most -= 1
+            if most < 0:
+                return True
+    return False
+
+
 def myers(pattern_bits: dict[str, int], m: int, text: str, k: int) -> tuple[int, int] | None:
     """(least edit distance of the pattern to a stretch of text, the stretch's end), if at most k."""
     mask, top = (1 << m) - 1, 1 << (m - 1)
@@ -113,7 +123,7 @@ class Matcher:
             _, _, bits, m, k, runs = self.items[number]
             best = None
             for lo, hi in own:
-                if len(runs) > GRAM * k and len(runs - grams(text[lo:hi])) > GRAM * k:
+                if len(runs) > GRAM * k and lacks(runs, text[lo:hi], GRAM * k):
                     continue
                 if (got := myers(bits, m, text[lo:hi], k)) and (best is None or got[0] < best[0]):
                     best = (got[0], lo + got[1])
