@@ -37,7 +37,7 @@ from sieveloom.llm import common as c
 
 REGISTERS, ROWS, MANTISSA = 96, 4, 10
 #: Members of a block; two blocks meet at a time.
-BLOCK = 256
+BLOCK = 1024
 _rng = np.random.default_rng(41)
 _FLIP = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
