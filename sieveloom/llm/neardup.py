@@ -38,6 +38,9 @@ from sieveloom.llm import common as c
 REGISTERS, ROWS, MANTISSA = 96, 4, 10
 #: Members of a block; two blocks meet at a time.
 BLOCK = 1024
+#: Up to so many ids of texts that share a bucket go to every executor (some 100 MB there), so that the
+#: other texts are not shuffled; more of them are joined by a shuffle of both sides.
+BROADCAST_IDS = 4_000_000
 _rng = np.random.default_rng(41)
 _FLIP = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)
 _TIMES = _rng.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -106,7 +109,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of (id, text)."""
+    """(id, shingles, regs, bands) of (id, text, regs, bands)."""
 
     def run(batches):
         for b in batches:
@@ -114,9 +117,9 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [None] * len(texts)
             for i, s in shingle_sets(texts, k):
                 sets[i] = c.signed(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), b.column(2), b.column(3)], names=["id", "shingles", "regs", "bands"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(run, "id long, shingles array<long>, regs array<short>, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,9 +151,12 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     members = c.cut(spread.join(shared, "bucket").select("bucket", "band", "id", "size"))
     if members.isEmpty():
         return None
-    some = members.select("id").distinct()
-    sets = full_sets(texts.join(some, "id").groupBy("id").agg(F.first("text", True).alias("text")), k)
-    sets = c.cut(sets.join(classes.select("id", "regs", "bands"), "id"))
+    some = c.cut(members.select("id").distinct())
+    if some.count() <= BROADCAST_IDS:
+        some = F.broadcast(some)
+    wanted = texts.join(some, "id").groupBy("id").agg(F.first("text", True).alias("text"))
+    wanted = wanted.join(classes.join(some, "id").select("id", "regs", "bands"), "id")
+    sets = c.cut(full_sets(wanted.select("id", "text", "regs", "bands"), k))
     c.release(spark)
     blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
     units = members.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
