@@ -66,6 +66,15 @@ def test_near_duplicates_match_all_pairs(spark, k):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_near_duplicates_without_the_broadcast(spark, monkeypatch):
+    rows = h.corpus(60, seed=6)
+    want = h.near_groups(rows, 2)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    got = rows_of(neardup.near_duplicates(h.frame(spark, rows), 2))
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
+
+
 def test_large_group_of_near_copies_is_one(spark):
     """Members differ from a base, some pairs of them by more than the threshold; links go through others."""
     rng = random.Random(7)
