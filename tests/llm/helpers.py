@@ -1,6 +1,7 @@
 """A corpus with the awkward cases, and brute-force versions of the operators."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -97,3 +98,27 @@ def edit_distance_within(pattern, text):
 
 
 __all__ = ["Counter", "defaultdict"]
+
+
+def url_scores(pages, order=5, least=2):
+    """The score of each (url, verdict): the models hold all that followed each context of the judged URLs."""
+    followed = {"allow": {}, "block": {}}
+    texts = [re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", u or "") for u, _ in pages]
+    for text, (_, verdict) in zip(texts, pages, strict=True):
+        s = "^" * order + text + "$"
+        for i in range(order, len(s)) if verdict else ():
+            for k in range(order + 1):
+                by = followed[verdict].setdefault(s[i - k : i], {})
+                by[s[i]] = by.get(s[i], 0) + 1
+    seen = lambda ctx: sum(sum(f.get(ctx, {}).values()) for f in followed.values())
+
+    def p(side, ctx, ch):
+        by, less = followed[side].get(ctx), p(side, ctx[1:], ch) if ctx else 1 / 256
+        return (by.get(ch, 0) + len(by) * less) / (sum(by.values()) + len(by)) if by and seen(ctx) >= least else less
+
+    out = []
+    for text in texts:
+        s = "^" * order + text + "$"
+        each = [math.log(p("allow", s[i - order : i], s[i]) / p("block", s[i - order : i], s[i])) for i in range(order, len(s))]
+        out.append(sum(each) / len(each) if text else 0.0)
+    return out

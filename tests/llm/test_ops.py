@@ -323,6 +323,27 @@ def test_url_models_tell_the_sides_apart(spark):
     assert len(open_) == 200 and sum((r["verdict"] == "allow") == (r["page_id"] % 2 == 0) for r in open_) > 190
 
 
+def test_url_scores_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(urls, "BLOCK", 64, raising=False)
+    rng = random.Random(5)
+    pages = [(i, f"http://{(host := rng.choice(['a.com', 'bé.com', 'c.net', 'd.org']))}/{'es/' if host == 'c.net' else ''}{''.join(rng.choice('abcü1') for _ in range(rng.randint(0, 9)))}") for i in range(300)]
+    pages += [*pages[:20], (None, "http://d.org/x"), (900, None), (901, "")]
+    got = rows_of(urls.judge(spark.createDataFrame(pages, "page_id long, url string")))
+    want = h.url_scores([(u, "allow" if u and ".com/" in u else "block" if u and ".net/es/" in u else None) for _, u in pages])
+    assert len(got) == len(pages)
+    assert {r["page_id"]: r["score"] for r in got} == pytest.approx({i: x for (i, _), x in zip(pages, want, strict=True)}, abs=1e-9)
+
+
+def test_url_models_keep_every_run(spark):
+    """More than 200,000 runs are seen twice or more."""
+    names = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(2000)] * 2
+    pages = [(i, f"http://{x}.{'com' if i % 2 else 'net/es'}/") for i, x in enumerate(names)] + [(9999, f"http://{names[0]}.org/")]
+    assert len({x[i : i + k] for x in names for k in range(1, 7) for i in range(65 - k)}) > 200_000
+    got = {r["page_id"]: r["score"] for r in rows_of(urls.judge(spark.createDataFrame(pages, "page_id long, url string")))}
+    want = h.url_scores([(u, [None, "allow", "block"][(".com/" in u) + 2 * (".net/" in u)]) for _, u in pages])
+    assert got == pytest.approx({i: x for (i, _), x in zip(pages, want, strict=True)}, abs=1e-9)
+
+
 def test_warc_records(spark):
     html = '<html lang="en"><title> A &amp; B </title><body><p>One<br>two &lt;3</p><script>x("<p>")</script><!-- no --><a href="/x">y</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (3, "http://b/", ""), (3, "http://b/", "")], "page_id long, url string, html string")
