@@ -43,12 +43,17 @@ def cover_places(n: int) -> np.ndarray:
 
 
 def _firsts(i: np.ndarray, p: np.ndarray, *h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows that are the first of their hash, by id and place; how many each has; the other rows)."""
+    """(rows that are the first of their hash, by id and place; how many each has; the other rows). Rows equal in hash, id
+    and place, those of a repeated row of the table, are one."""
     order = np.lexsort((p, i, *reversed(h)))
     new = np.zeros(len(order), bool)
     new[:1] = True
     for x in h:
         new[1:] |= x[order][1:] != x[order][:-1]
+    once = new.copy()
+    for x in (i, p):
+        once[1:] |= x[order][1:] != x[order][:-1]
+    order, new = order[once], new[once]
     return order[new], np.diff(np.append(np.flatnonzero(new), len(order))), order[~new]
 
 

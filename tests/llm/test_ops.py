@@ -138,6 +138,17 @@ def test_a_text_that_repeats_itself(spark):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substring.removed(h.frame(spark, rows)))} == want
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_repeated_rows_are_one_document(spark, parts):
+    w = [f"w{i}" for i in range(70)]
+    texts = [(1, w[:30]), (1, w[:30]), (2, w[40:62] * 2), (2, w[40:62] * 2), (2, w[40:62] * 2), (3, [*w[5:28], "x"]), (3, [*w[5:28], "x"])]
+    rows = [(i, " ".join(t), "en", "s", 1, 0.0, "", "", "") for i, t in texts]
+    want = h.window_cut(rows)
+    assert [want[i][1] for i in (1, 2, 3)] == [0, 22, 23]
+    got = rows_of(substring.removed(h.frame(spark, rows).repartition(parts)))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((i, *want[i]) for i, _ in texts)
+
+
 def test_cleaned_texts(spark):
     rows = [r for r in h.corpus(60, seed=6) if r[0] is not None]
     want = h.window_cut(rows)
