@@ -474,11 +474,8 @@ def _(spark, sf):
 
 @query("nmf_topics")
 def _(spark, sf):
-    d = _docs(spark, sf)
-    tf = topics.term_counts(d.withColumn("text", F.col("title")))
-    v = topics.vocabulary(tf, d.count(), 3, 0.85)
-    rows = topics.weights(tf, v).persist()
-    return topics.topic_terms(topics.nmf(rows, 4, rounds=3)[1], 8)
+    rows = topics.weights(*_tf(spark, sf)).persist()
+    return topics.topic_terms(topics.nmf(rows, 4)[1], 8)
 
 
 # ---- samples

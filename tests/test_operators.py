@@ -149,6 +149,19 @@ def test_nmf_finds_planted_topics(spark):
         topics.corpus_gates(spark.createDataFrame([], "ord long"))
 
 
+def test_topics_of_whole_texts(spark, tmp_path, monkeypatch):
+    """Titles say nothing of the topics, which stand in the texts; the factors come near convergence."""
+    from sieveloom.plans import catalogue
+
+    docs = [(i, f"report number\n{' '.join(f'{chr(97 + i % 4)}word{(i + j) % 6}' for j in range(12))}", "en", "s", 100) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    losses, nmf = [], topics.nmf
+    monkeypatch.setattr(topics, "nmf", lambda *a, **k: (got := nmf(*a, **k), losses.extend(got[2]))[0])
+    terms = {r.topic_id: r.terms.split(", ") for r in catalogue.QUERIES["nmf_topics"](spark, str(tmp_path)).collect()}
+    assert len(terms) == 4 and all("word" in x for ts in terms.values() for x in ts)
+    assert len(losses) == 30 or losses[-2] - losses[-1] <= 1e-4 * losses[0]
+
+
 def test_web(spark):
     assert one(spark, web.canonical, "https://www.A.it//x///y/?q=1#z") == "a.it/x/y?q=1"
     assert one(spark, lambda u: web.in_domains(u, ("a.it",)), "http://b.a.it/") and not one(spark, lambda u: web.in_domains(u, ("a.it",)), "http://test.a.it/") and not one(spark, lambda u: web.in_domains(u, ("a.it",)), "http://xa.it/")
