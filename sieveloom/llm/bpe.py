@@ -2,13 +2,17 @@
 
 Pre-tokens are found by whole-array rules on code points. Each block of documents (about
 BLOCK_BYTES of text) gives its distinct words once, and for each document the places of
-these words. The words of all blocks are shuffled by the word itself and sorted, so each
-distinct word is encoded once; its ids go back to the blocks that hold it, where the
-places put the texts together again. Decoding gathers the bytes of each id from the
-token table.
+these words. Words that are tokens themselves, the most frequent ones among them, have
+their id from the rank table that every executor holds. The other words of all blocks are
+shuffled by the word itself and sorted, so each distinct one is encoded once; its ids go
+back to the blocks that hold it, where the places put the texts together again. Decoding
+gathers the bytes of each id from the token table.
 
 No group grows with the frequency of a word: a word has one row for each block that
-holds it. A block is flushed by size, so memory stays bounded; one text is never split.
+holds it, and none if it is a token. A block is flushed by size, so memory stays bounded;
+one text is never split. Blocks are built twice from the table, also when an executor is
+lost: their numbers come from their contents, so the same rows in the same order give the
+same blocks; rows in another order fail loudly, with a word without ids.
 
 Edge cases: null and empty texts have no tokens; ids of documents are only carried, so
 they may be null or repeat; texts are valid UTF-8, of any length, and special tokens in
@@ -185,48 +189,55 @@ def _unpack(blob: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
+def _distinct(a: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each distinct word, for each span the number of its word); the spans cover all of a. Words are told
+    apart by their bytes: hashes only bring equal ones together."""
+    _, first, place = np.unique(c.span_hashes(a, s, e), return_index=True, return_inverse=True)
+    like, size = first[place], e - s
+    if (size == size[like]).all() and (a == a[c.spread(s[like], size)]).all():
+        return first, place
+    buf, index, first = a.tobytes(), {}, []
+    place = np.empty(len(s), np.int64)
+    for i, (x, y) in enumerate(zip(s.tolist(), e.tolist(), strict=True)):
+        place[i] = index.setdefault(buf[x:y], len(index))
+        if place[i] == len(first):
+            first.append(i)
+    return np.array(first, np.int64), place
+
+
 class _Block:
     """The distinct words of some documents, and their places."""
 
     def __init__(self):
-        self.size = 0
-        self.hash, self.text, self.places, self.docs = [], [], [], []
+        self.size, self.index, self.places, self.docs = 0, {}, [], []
 
     def add(self, ids: list, texts: list[bytes]):
         self.size += sum(map(len, texts))
         a, s, e, at = pretokens(texts)
-        h = c.span_hashes(a, s, e)
-        kinds, first, place = np.unique(h, return_index=True, return_inverse=True)
-        buf = a.tobytes()
-        self.hash.append(kinds)
-        self.text.append([buf[s[i] : e[i]] for i in first.tolist()])
-        self.places.append(place.astype(np.uint32))
+        first, place = _distinct(a, s, e)
+        buf, index = a.tobytes(), self.index
+        number = [index.setdefault(buf[x:y], len(index)) for x, y in zip(s[first].tolist(), e[first].tolist(), strict=True)]
+        self.places.append(np.array(number, np.uint32)[place])
         self.docs.append((ids, np.diff(at)))
 
     @property
     def number(self) -> int:
         """A number made from the contents, the same wherever the block is built; equal blocks share one."""
-        h = hashlib.blake2b(digest_size=8)
-        for kinds, places, (ids, sizes) in zip(self.hash, self.places, self.docs, strict=True):
-            h.update(kinds.tobytes() + places.tobytes() + sizes.tobytes() + repr(ids).encode())
+        h = hashlib.blake2b(b"\xff".join(self.index), digest_size=8)
+        for places, (ids, sizes) in zip(self.places, self.docs, strict=True):
+            h.update(places.tobytes() + sizes.tobytes() + repr(ids).encode())
         return int.from_bytes(h.digest(), "little", signed=True)
 
-    def words(self):
-        """(distinct words, for each piece the number of each of its words in them), the most frequent first."""
-        flat = np.concatenate(self.hash) if self.hash else np.empty(0, np.uint64)
-        kinds, first, place = np.unique(flat, return_index=True, return_inverse=True)
-        times = np.zeros(len(kinds), np.int64)
-        offset, inverse = 0, []
-        for h, p in zip(self.hash, self.places, strict=True):
-            inv = place[offset : offset + len(h)]
-            np.add.at(times, inv, np.bincount(p, minlength=len(h)))
-            inverse.append(inv)
-            offset += len(h)
+    def words(self) -> tuple[list[bytes], np.ndarray]:
+        """(distinct words, the most frequent first; the place among them of each number)."""
+        times = np.zeros(len(self.index), np.int64)
+        for p in self.places:
+            times += np.bincount(p, minlength=len(times))
         order = np.argsort(-times, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        text = [w for t in self.text for w in t]
-        return [text[first[i]] for i in order.tolist()], [rank[inv] for inv in inverse]
+        text = list(self.index)
+        return [text[i] for i in order.tolist()], rank
 
 
 def _blocks(batches, block_bytes: int):
@@ -263,21 +274,23 @@ def _assembled(docs, path, id_col, text_col, block_bytes, digest):
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def words(batches):
+        known = vocabulary.value.rank
         for block in _blocks(batches, block_bytes):
-            kinds, _ = block.words()
+            new = [(w, i) for i, w in enumerate(block.words()[0]) if w not in known]
             number = block.number
-            at = np.arange(len(kinds), dtype=np.int64)
-            for i in range(0, len(kinds), 50_000):
-                part = kinds[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(np.full(len(part), number)), pa.array(at[i : i + len(part)].astype(np.int32))], names=["word", "block", "place"])
+            for i in range(0, len(new), 50_000):
+                part = new[i : i + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([number] * len(part), pa.int64()), pa.array([p for _, p in part], pa.int32())], names=["word", "block", "place"])
 
     def places(batches):
+        rank = vocabulary.value.rank
         for block in _blocks(batches, block_bytes):
-            _, maps = block.words()
+            kinds, order = block.words()
             number = block.number
-            for (ids, sizes), m, p in zip(block.docs, maps, block.places, strict=True):
+            yield from flush({number: [(i, [rank[w]]) for i, w in enumerate(kinds) if w in rank]})
+            for (ids, sizes), p in zip(block.docs, block.places, strict=True):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([-1], pa.int32()), pa.array([_pack(m[p])], pa.binary()), pa.array([len(p)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))],
+                    [pa.array([number]), pa.array([-1], pa.int32()), pa.array([_pack(order[p])], pa.binary()), pa.array([len(p)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tolist()], pa.list_(pa.int64()))],
                     names=["block", "part", "blob", "n", "a", "b"],
                 )
 
@@ -328,10 +341,10 @@ def _assembled(docs, path, id_col, text_col, block_bytes, digest):
     def texts_of(x, ids, sizes, ready, table, border, width):
         at, flat = ready
         count = (at[1:] - at[:-1])[x]
-        tokens = flat[_spread(at[:-1][x], count)].astype("<u4")
+        tokens = flat[c.spread(at[:-1][x], count)].astype("<u4")
         ends = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], np.cumsum(sizes)])]
         length = width[tokens]
-        raw = table[_spread(border[:-1][tokens], length)].tobytes()
+        raw = table[c.spread(border[:-1][tokens], length)].tobytes()
         byte_ends = np.concatenate([[0], np.cumsum(length)])[ends]
         n = pa.array(np.diff(ends))
         coded = [tokens[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
@@ -351,15 +364,6 @@ def _assembled(docs, path, id_col, text_col, block_bytes, digest):
     return both.mapInArrow(assemble, f"doc_id long, n_tokens long, {kind}")
 
 
-def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, … count[0] of them, then those of the next."""
-    total = int(count.sum())
-    if not total:
-        return np.empty(0, np.int64)
-    before = np.cumsum(count) - count
-    return np.repeat(first - before, count) + np.arange(total)
-
-
 def _dictionary(pieces: list) -> tuple[np.ndarray, np.ndarray]:
     """Borders and ids of all words of a block, by place."""
     place, sizes, ids = [], [], []
@@ -372,4 +376,6 @@ def _dictionary(pieces: list) -> tuple[np.ndarray, np.ndarray]:
     place, sizes, ids = np.concatenate(place), np.concatenate(sizes), np.concatenate(ids)
     start = np.cumsum(sizes) - sizes
     order = np.unique(place, return_index=True)[1]  # equal blocks give the same words twice
-    return np.concatenate([[0], np.cumsum(sizes[order])]), ids[_spread(start[order], sizes[order])]
+    if place[order[-1]] != len(order) - 1:
+        raise RuntimeError("a block lacks the ids of some words: the table gave other rows when read again")
+    return np.concatenate([[0], np.cumsum(sizes[order])]), ids[c.spread(start[order], sizes[order])]

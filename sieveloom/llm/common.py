@@ -5,7 +5,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -19,16 +21,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text hashed at one go; temporaries are some ten times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Up to so many edges one task runs union-find; beyond, star contraction over all executors.
 LOCAL_EDGES = 400_000
 
+#: Bytes of an Arrow batch that a Python worker takes at a time, about; one row is never split.
+BATCH_BYTES = 16 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: A shuffled partition of prepared rows has about so many bytes.
+PARTITION_BYTES = 32 << 20
+
 _shipped: set[str] = set()
 _written: list[tuple[weakref.ref, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers when they cannot import it by path."""
+    """Send this package to the Python workers when they cannot import it by path, and bound the bytes of an
+    Arrow batch, where the session leaves that bound at its default: a batch of 10,000 long texts is large."""
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     root = Path(__file__).resolve().parents[2]
     app = spark.sparkContext.applicationId
     known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p}
@@ -67,6 +78,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def partitions(df: DataFrame, times: float = 1.0) -> int:
+    """How many partitions a shuffle of `times` the bytes of df should have: the session's number, or more for a large table."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(min(size, 1 << 60) * times) // PARTITION_BYTES)
+
+
 def release(spark: SparkSession) -> None:
     """Drop the shuffle files of finished steps now: Spark does so once their plans are collected, which the driver
     otherwise does when its own memory runs short, however full the executors' disks are."""
@@ -91,13 +108,14 @@ def drop_written() -> None:
 
 # ---- word hashing -------------------------------------------------------------------------
 
-_ONE = np.uint64(1)
-_BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
+#: Words of more bytes are hashed by blake2b; shorter ones by a random number for each place and byte.
+LONG = 48
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_TABLE = _rng.integers(0, 2**64, LONG * 256, dtype=np.uint64)
+_STEP = 0xD1342543DE82EF95
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,22 +127,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i <= n."""
-    got = _tables.get(base)
-    if got is None or len(got[0]) <= n:
-        size = 1 << max(12, int(n).bit_length())
-        pair = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            out = np.empty(size, np.uint64)
-            out[0], filled = _ONE, 1
-            while filled < size:
-                step = np.uint64(pow(b, filled, 1 << 64))
-                out[filled : 2 * filled] = out[:filled] * step
-                filled *= 2
-            pair.append(out)
-        got = _tables[base] = (pair[0], pair[1])
-    return got
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, … count[0] of them, then those of the next."""
+    total = int(count.sum())
+    if not total:
+        return np.empty(0, np.int64)
+    before = np.cumsum(count) - count
+    return np.repeat(first - before, count) + np.arange(total)
 
 
 def word_spans(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,43 +146,77 @@ def word_spans(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = powers(_BASE, len(a))
-    cs = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(_BYTE[a] * up[: len(a)], out=cs[1:])
-    return mix((cs[ends] - cs[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each span of bytes, none of them empty. Two given words of up to LONG bytes agree
+    with probability 2**-64 over the choice of the table, whatever their structure."""
+    size = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    short = size <= LONG
+    all_short = bool(short.all())
+    s, n = (starts, size) if all_short else (starts[short], size[short])
+    if len(s):
+        before = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(before, n)
+        sums = np.add.reduceat(_TABLE[(place << 8) + a[place + np.repeat(s, n)]], before)
+        if all_short:
+            return mix(sums)
+        out[short] = mix(sums)
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(a[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of k words; entry i starts at word i."""
+    """A 64-bit hash of each run of k words; entry i starts at word i. For short runs only: beyond a thousand
+    words, sums of powers modulo 2**64 no longer tell all sequences apart."""
     n = len(words)
-    if n < k:
+    if n < k or not k:
         return np.empty(0, np.uint64)
-    up, down = powers(_STEP, n)
-    cs = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * up[:n], out=cs[1:])
-    return mix((cs[k:] - cs[:-k]) * down[: n - k + 1])
+    out, size, part, width, left = None, 0, words, 1, k
+    while True:  # runs of 1, 2, 4, … words, put together to k
+        if left & 1:
+            m = n - size - width + 1
+            out = part[:m] if out is None else out[:m] + part[size : size + m] * np.uint64(pow(_STEP, size, 1 << 64))
+            size += width
+        left >>= 1
+        if not left:
+            return mix(out + np.uint64(k))
+        part = part[:-width] + part[width:] * np.uint64(pow(_STEP, width, 1 << 64))
+        width *= 2
 
 
 def slices(texts: list, limit: int = SLICE_BYTES):
     """(first, last) index pairs that cut a list of bytes into runs of about `limit` bytes."""
     first = size = 0
     for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield first, i
+            first, size = i, 0
         size += len(t)
-        if size >= limit:
-            yield first, i + 1
-            first, size = i + 1, 0
     if first < len(texts):
         yield first, len(texts)
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """The hashes of a text's words, from pieces of about SLICE_BYTES that end at white space."""
+    out, at = [], 0
+    while at < len(text):
+        cut_at = _BLANK.search(text, at + SLICE_BYTES) if len(text) - at > SLICE_BYTES else None
+        end = cut_at.start() if cut_at else len(text)
+        out.append(span_hashes(*word_spans(text[at:end])))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def hashed_docs(texts: list[bytes], lower: bool = False):
     """For each run of texts: (first index, word hashes, borders); text first+j has the
-    words borders[j]:borders[j+1]. Words are runs without the six ASCII white-space bytes."""
+    words borders[j]:borders[j+1]. Words are runs without the six ASCII white-space bytes.
+    Temporaries are some ten times SLICE_BYTES, or the longest word, however long a text is."""
     for lo, hi in slices(texts):
         part = texts[lo:hi]
+        if len(part) == 1:
+            words = word_hashes(part[0].lower() if lower else part[0])
+            yield lo, words, np.array([0, len(words)])
+            continue
         buf = b"\n".join(part)
         a, s, e = word_spans(buf.lower() if lower else buf)
         at = np.cumsum([0] + [len(t) + 1 for t in part])

@@ -66,15 +66,56 @@ def test_near_duplicates_match_all_pairs(spark, k):
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
 
 
-def test_near_duplicates_without_the_broadcast(spark, monkeypatch):
-    rows = h.corpus(60, seed=6)
+@pytest.mark.parametrize("block", [1, 3])
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, block):
+    """Chains and clusters of near copies, some linked only through others, with units of a few members."""
+    rng = random.Random(block)
+    rows, n = h.corpus(40, seed=6), 2000
+    for _ in range(4):
+        w = [f"w{rng.randrange(60)}" for _ in range(40)]
+        for _ in range(25):
+            w = list(w)
+            for _ in range(rng.randint(1, 4)):
+                w[rng.randrange(40)] = f"w{rng.randrange(60)}"
+            rows.append((n, " ".join(w), "en", "s", 1, 0.0, "", "", ""))
+            n += 1
     want = h.near_groups(rows, 2)
-    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     got = rows_of(neardup.near_duplicates(h.frame(spark, rows), 2))
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want
 
 
+def thue_morse(n):
+    """Two words of n letters that sums of powers modulo 2**64 cannot tell apart when n is 1024 or more."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_structured_words_stay_apart(spark, n):
+    one, two = thue_morse(n)
+    a, b = (common.word_hashes(x.encode())[0] for x in (one, two))
+    assert a != b
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(i, t, "en", "s", 1, 0.0, "", "", "") for i, t in enumerate([one, two, f"{rest} {one}", f"{rest} {two}"])]
+    frame = h.frame(spark, rows).coalesce(1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows_of(neardup.near_duplicates(frame, 2))}
+    assert got == h.near_groups(rows, 2) and got[1][1] == 1
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows_of(substring.removed(frame))} == h.window_cut(rows)
+    for r in rows_of(bpe.digests(frame, RANKS)):
+        assert r["decoded_sha256"] == hashlib.sha256(rows[r["doc_id"]][1].encode()).hexdigest()
+
+
+def test_words_are_told_apart_by_bytes(monkeypatch):
+    """Also when all hashes are equal."""
+    monkeypatch.setattr(common, "span_hashes", lambda a, s, e: np.zeros(len(s), np.uint64))
+    text = b" the cat the dog cat"
+    a, s, e, _ = bpe.pretokens([text])
+    first, place = bpe._distinct(a, s, e)
+    words = [text[s[i] : e[i]] for i in first]
+    assert len(set(words)) == len(words) == 3 and [words[i] for i in place] == [text[x:y] for x, y in zip(s, e, strict=True)]
+
+
 def test_large_group_of_near_copies_is_one(spark):
     """Members differ from a base, some pairs of them by more than the threshold; links go through others."""
     rng = random.Random(7)
@@ -105,7 +146,7 @@ def test_empty_tables(spark):
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2)
-    a, b = pool[:3600], pool[400:]
+    a, b = np.sort(pool[:3600]), np.sort(pool[400:])
     agree = (neardup.registers(a) == neardup.registers(b)).mean()
     by_chance = neardup.chance(3600, 3600)
     assert abs((agree - by_chance) / (1 - by_chance) - 3200 / 4000) < 0.17
