@@ -59,13 +59,23 @@ class Taxonomy:
         more; fewer than `least` hits in all are not assigned. margin: the winner's share of all hits."""
         df = self.counted(df, text)
         best = F.array_max(F.array(*[F.struct(F.col(f"t{k}").alias("n"), F.lit(-k).alias("i")) for k in self.themes]))
-        df = df.withColumn("best", best).withColumn("hits", total([F.col(f"t{k}") for k in self.themes]) + F.col("process_n"))
+        hits = total([F.col(f"t{k}") for k in self.themes]) + F.col("process_n")
+        # always true, but no filter is pushed below it: there every pattern would be written out again at each use of its count
+        df = df.withColumn("best", best).withColumn("hits", F.when(F.spark_partition_id() >= 0, hits))
         none, process = F.col("hits") < least, F.col("process_n") > F.col("best.n")
         category = F.when(F.col("boiler_n") > 0, BOILERPLATE).when(none, NONE).when(process, PROCESS).otherwise((-F.col("best.i")).cast("string"))
         theme = F.when((F.col("boiler_n") > 0) | none | process, F.lit(None)).otherwise(-F.col("best.i")).cast("int")
         win = F.greatest("best.n", "process_n") / F.col("hits")
         return df.withColumns({"category": category, "theme_id": theme, "margin": F.when(none | (F.col("boiler_n") > 0), 0.0).otherwise(win)}).drop("best")
 
+    def winner_occurrences(self, text: Column, theme: Column) -> Column:
+        """How often the patterns of a unit's own theme occur in the text as it stands, whatever their case; accents
+        count as they are, unlike in the classifier's counts. 0 for service rows."""
+        out = F.lit(0)
+        for k, patterns in self.themes.items():
+            out = F.when(theme == k, total([F.regexp_count(text, F.lit(f"(?i){p}")) for p in patterns])).otherwise(out)
+        return out
+
     def subtheme(self, parent: int, form: Column) -> Column:
         """The child with most hits, the first declared at a tie; null without hits."""
         children = self.subthemes[parent]

@@ -82,7 +82,8 @@ def fingerprint(text: Column) -> Column:
     return F.sha1(F.encode(line_form(text), "UTF-8"))
 
 
-MOJIBAKE = "Ã[\u0080-¿]|Â[\u0080-¿]|â€"
+#: What UTF-8 read as ISO-8859-1 leaves of accented letters, of dashes and quotes, and of signs.
+MOJIBAKE = "Ã[\u0080-\u00bf]|â€[\u0080-\u009f]|Â[\u00a0-\u00bf]"
 
 
 def mojibake(text: Column) -> Column:

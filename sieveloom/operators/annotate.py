@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,14 +109,50 @@ def never_right(df: DataFrame, key: str, right: str) -> DataFrame:
     return df.where(F.col(right).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col(right).cast("long")).alias("right")).where("right = 0").select(key, "n")
 
 
+def flattened(text: str | None) -> str:
+    """Lower case without accents and replacement characters, white space squeezed: what damaged labels are compared by."""
+    marks = unicodedata.normalize("NFKD", text or "")
+    return " ".join("".join(ch for ch in marks if ch != "\ufffd" and not unicodedata.combining(ch)).lower().split())
+
+
 def repaired_label(value: str | None, labels: list[str], cutoff: float = 0.82, note: str = "") -> str:
-    """A reviewer's label as one of the known ones: equal, one the beginning of the other, or alike; blank stays blank,
-    `dubbio` where the note says so. Runs on the driver over the few distinct labels."""
-    flat = " ".join((value or "").lower().split())
-    if flat in ("", "nan"):
-        return "dubbio" if "dubbio" in note.lower() else ""
-    for x in labels:
-        if flat == x.lower() or (len(flat) >= 4 and (x.lower().startswith(flat) or flat.startswith(x.lower()))):
-            return x
-    best = max(labels, key=lambda x: difflib.SequenceMatcher(None, flat, x.lower()).ratio(), default="")
-    return best if best and difflib.SequenceMatcher(None, flat, best.lower()).ratio() >= cutoff else flat
+    """A reviewer's label as one of the known ones: equal in flat form; else the only one that it is a part of; else the
+    most alike above the cutoff; else as it was, trimmed. Blank stays blank, `dubbio` where the note says so. Runs on the
+    driver over the few distinct labels."""
+    own, known = flattened(value), {flattened(x): x for x in labels}
+    if not own:
+        return "dubbio" if "dubbio" in flattened(note) else ""
+    if own not in known:
+        parts = [x for x in known if own in x]
+        alike = parts if len(parts) == 1 else difflib.get_close_matches(own, known, 1, cutoff)
+        if not alike:
+            return (value or "").strip()
+        own = alike[0]
+    return known[own]
+
+
+def policy(label: Column, without: list[str]) -> Column:
+    """Whether a label names a policy theme, `yes` or `no`; null where the reviewer was in doubt or left it blank."""
+    blank = F.coalesce(label, F.lit("")).isin("", "dubbio")
+    return F.when(~blank, F.when(label.isin(*without), "no").otherwise("yes"))
+
+
+def confirmed(outcome: Column, *labels: Column) -> Column:
+    """Whether any of the reviewers' labels that are not blank is the lexicon's outcome."""
+    return F.coalesce(F.array_contains(F.filter(F.array(*labels), lambda x: x != ""), outcome), F.lit(False))
+
+
+def lexicon_validation(df: DataFrame, none: str, without: list[str]) -> DataFrame:
+    """One row over (outcome, first_r1, second_r1, first_r2, second_r2): labelled rows, percent confirmed by any label of
+    either reviewer (generous) and by the first label of the first (strict), rows and percent of false positives (both
+    say there is no policy), and agreement on policy over the rows where both answer."""
+    col = F.col
+    one, two = policy(col("first_r1"), without), policy(col("first_r2"), without)
+    both, own = one.isNotNull() & two.isNotNull(), F.coalesce(~col("outcome").isin(none, ""), F.lit(False))
+    pct = lambda c, of: 100.0 * F.avg(F.when(of, c.cast("int")))
+    false = (one == "no") & (two == "no")
+    return df.agg(
+        F.count_if(own).alias("labelled"), pct(confirmed(col("outcome"), *[col(f"{x}_{r}") for x in ("first", "second") for r in ("r1", "r2")]), own).alias("generous"),
+        pct(confirmed(col("outcome"), col("first_r1")), own).alias("strict"), F.count_if(own & false).alias("false_positives"),
+        pct(F.coalesce(false, F.lit(False)), own).alias("false_percent"), F.count_if(both).alias("policy_rows"), pct(one == two, both).alias("policy_agreement"),
+    )

@@ -101,6 +101,28 @@ def anomalies(df: DataFrame) -> DataFrame:
     return rows.unionByName(urls).unionByName(largest).unionByName(odd)
 
 
+def largest_group_topics(df: DataFrame) -> DataFrame:
+    """(estratto, topic_id, records): the topics of the largest group of equal excerpts, the alphabetically first at a tie."""
+    n = df.where("coalesce(estratto, '') != ''").groupBy("estratto", "topic_id").agg(F.count("*").alias("records"))
+    size = n.groupBy("estratto").agg(F.sum("records").alias("size"))
+    best = size.agg(F.min_by("estratto", F.struct(-F.col("size"), F.col("estratto"))).alias("estratto"))
+    return n.join(F.broadcast(best), "estratto")  # one row
+
+
+def audit_tables(df: DataFrame, topics: int, top: int = 10, threshold: float = 0.5, prefix: int = 300, records: int = 3) -> dict[str, DataFrame]:
+    """The tables of an audit by name, for sinks.tables()."""
+    named = {"exact_excerpt": excerpt_duplicates(df), "title_excerpt": title_excerpt_duplicates(df), "prefix": near_duplicates_by_prefix(df, prefix)}
+    duplicates = None
+    for kind, t in named.items():
+        t = t.select(F.lit(kind).alias("kind"), "*")
+        duplicates = t if duplicates is None else duplicates.unionByName(t)
+    return {
+        "topic_distribution": distribution(df, topics), "confidence_summary": summary(df, "confidenza_topic"), "weight_summary": weight_summary(df), "domain_top": top_domains(df, top),
+        "domain_concentration": concentration(df, threshold), "monthly_topics": monthly(df), "date_ranges": date_ranges(df), "duplicates": duplicates, "anomalies": anomalies(df),
+        "largest_group_topics": largest_group_topics(df), "top_records": top_records(df, records).drop("weights"),
+    }
+
+
 def top_records(df: DataFrame, most: int) -> DataFrame:
     """df with `weight` (of the own topic) and `selection_rank`: by weight, then url."""
     df = df.withColumn("weight", F.element_at("weights", F.col("topic_id") + 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveloom.functions import text as X
@@ -53,17 +53,23 @@ def corpus_templates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def without_templates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """docs with template lines taken out (the rest keeps its order, trimmed), and `removed` lines for each document."""
-    parts = docs.select("ord", "domain", F.posexplode(F.split("text", r"\r\n|[\n\r]")).alias("pos", "raw")).withColumn("line", X.line_form(F.col("raw")))
-    local = domain_templates(docs, limits).select("domain", "line", F.lit(True).alias("own"))
-    common = corpus_templates(docs, limits).select("line", F.lit(True).alias("all"))
-    parts = parts.join(local, ["domain", "line"], "left").join(common, "line", "left")
-    parts = parts.withColumn("out", (F.length("line") >= 3) & (F.coalesce("own", F.lit(False)) | F.coalesce("all", F.lit(False))))
-    kept = parts.groupBy("ord").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("out"), F.struct("pos", "raw")))).alias("kept"), F.sum(F.col("out").cast("long")).alias("removed")
-    )
-    text = F.regexp_replace(F.array_join(F.transform("kept", lambda x: x["raw"]), "\n"), r"^\s+|\s+$", "")
-    return docs.drop("text").join(kept.select("ord", text.alias("text"), "removed"), "ord")
+    """docs with template lines taken out (the rest keeps its order, trimmed), and `removed` lines for each document.
+
+    Texts stay whole: a domain's template lines, of which a rule by shares allows some hundreds, come to its documents
+    as one list, and lines are tested within the row."""
+    local = domain_templates(docs, limits).groupBy("domain").agg(F.collect_set("line").alias("own"))
+    common = corpus_templates(docs, limits).agg(F.collect_set("line").alias("all"))
+    rows = docs.join(local, "domain", "left").join(F.broadcast(common))  # one row
+    out = F.coalesce(F.array_union(F.coalesce("own", F.array().cast("array<string>")), "all"), F.array().cast("array<string>"))
+    raw = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]")
+
+    def stays(x):
+        line = X.line_form(x)
+        return ~((F.length(line) >= 3) & F.array_contains("out", line))
+
+    rows = rows.withColumn("out", out).withColumn("raw", raw).withColumn("kept", F.when(F.size("out") > 0, F.filter("raw", stays)).otherwise(F.col("raw")))
+    text = F.regexp_replace(F.array_join("kept", "\n"), r"^\s+|\s+$", "")
+    return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], (F.size("raw") - F.size("kept")).cast("long").alias("removed"))
 
 
 def text_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,17 +93,39 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def report(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(metric, value): documents in and out, lines removed, emptied documents, copies, templates, domains with templates."""
-    fixed = docs.withColumn("text", X.repaired(F.coalesce(F.col("text"), F.lit(""))))
-    stripped = without_templates(fixed, limits)
-    kept, dropped = text_copies(long_enough(stripped, limits.least_chars))
-    one = lambda name, df, agg: df.agg(agg.alias("value")).select(F.lit(name).alias("metric"), F.coalesce(F.col("value").cast("long"), F.lit(0)).alias("value"))
-    n = F.count("*")
-    parts = [
-        one("documents_in", docs, n), one("lines_removed", stripped, F.sum("removed")), one("too_short", stripped.where(F.length("text") < limits.least_chars), n), one("copies", dropped, n),
-        one("documents_out", kept, n), one("domain_templates", domain_templates(fixed, limits), n), one("domains_with_templates", domain_templates(fixed, limits).select("domain").distinct(), n), one("corpus_templates", corpus_templates(fixed, limits), n),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """(metric, value): documents in and out, texts repaired, lines removed, emptied documents, copies, templates, domains
+    with templates. One pass over the texts groups them by fingerprint; the counts follow from the groups."""
+    damaged = X.mojibake(F.coalesce("text", F.lit("")))
+    fixed = docs.withColumn("fixed", X.repaired(F.coalesce("text", F.lit(""))))
+    fixed = fixed.withColumn("repaired", (damaged & (F.col("fixed") != F.col("text"))).cast("long")).withColumn("text", F.col("fixed")).drop("fixed")
+    long = F.length("text") >= limits.least_chars
+    marks = without_templates(fixed, limits).select(F.when(long, X.fingerprint(F.col("text"))).alias("mark"), "removed", "repaired")
+    marks = marks.groupBy("mark").agg(F.count("*").alias("n"), F.sum("removed").alias("removed"), F.sum("repaired").alias("repaired"))
+    own = F.col("mark").isNotNull()
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    one = marks.agg(
+        total("n").alias("documents_in"), total("repaired").alias("repaired"), total("removed").alias("lines_removed"), total(F.when(~own, F.col("n"))).alias("too_short"),
+        total(F.when(own, F.col("n") - 1)).alias("copies"), F.count_if(own).alias("documents_out"),
+    )
+    local = domain_templates(fixed, limits).groupBy("domain").agg(F.count("*").alias("n")).agg(total("n").alias("domain_templates"), F.count("*").alias("domains_with_templates"))
+    common = corpus_templates(fixed, limits).agg(F.count("*").alias("corpus_templates"))
+    out = None
+    for part in (one, local, common):
+        part = part.unpivot([], part.columns, "metric", "value")
+        out = part if out is None else out.unionByName(part)
     return out
+
+
+def template_report(docs: DataFrame, domains: int = 20, lines: int = 10, limits: Limits = Limits()) -> DataFrame:
+    """(domain, line, df, share, rank): the most frequent template lines of the domains that have most of them."""
+    local = domain_templates(docs, limits)
+    most = local.groupBy("domain").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "domain").limit(domains)
+    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("df"), "line"))
+    out = local.join(F.broadcast(most), "domain").withColumn("rank", rank).where(F.col("rank") <= lines)
+    return out.select("domain", "line", "df", (F.col("df") / F.col("n")).alias("share"), "rank")
+
+
+def language_changes(docs: DataFrame) -> DataFrame:
+    """(language, detected, n): what the check of languages would change, rows of unknown language left as they are."""
+    detected = X.language(F.col("text"))
+    return docs.groupBy("language", F.when(detected == "unknown", F.col("language")).otherwise(detected).alias("detected")).agg(F.count("*").alias("n"))

@@ -10,9 +10,10 @@ from sieveloom.functions import text as X
 
 def shares(units: DataFrame, keys: list[str], themes_only: bool = False) -> DataFrame:
     """(keys, category, n, share in percent); service rows count in the whole unless themes_only."""
-    if themes_only:
-        units = units.where("theme_id is not null")
-    n = units.groupBy(*keys, "category").agg(F.count("*").alias("n"))
+    if themes_only:  # the few grouped rows are filtered, not the units
+        n = units.groupBy(*keys, "category").agg(F.count("theme_id").alias("n")).where("n > 0")
+    else:
+        n = units.groupBy(*keys, "category").agg(F.count("*").alias("n"))
     return n.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
 
 
@@ -20,7 +21,7 @@ def weighted_shares(units: DataFrame, prevalence: DataFrame) -> DataFrame:
     """Post-stratification: (category, weighted, share) with weights prevalence(topic) / rows(topic)."""
     size = Window.partitionBy("topic_id")
     n = units.groupBy("topic_id", "category").agg(F.count("*").alias("n")).withColumn("rows", F.sum("n").over(size))
-    w = n.join(F.broadcast(prevalence), "topic_id").withColumn("w", F.col("n") * F.col("prevalence") / F.col("rows"))
+    w = n.join(prevalence, "topic_id").withColumn("w", F.col("n") * F.col("prevalence") / F.col("rows"))
     out = w.groupBy("category").agg(F.sum("w").alias("weighted"))
     return out.withColumn("share", 100.0 * F.col("weighted") / F.sum("weighted").over(Window.partitionBy(F.lit(0))))
 
@@ -49,6 +50,12 @@ def override(first: DataFrame, second: DataFrame, keys: list[str], value: str) -
     return both.select(*keys, F.when(F.col("hy"), F.col("y")).otherwise(F.col("x")).alias(value), F.when(F.col("hy"), "second").otherwise("first").alias("source"), (F.col("hx") & F.col("hy")).eqNullSafe(True).alias("paired"))
 
 
+def topic_service(units: DataFrame) -> DataFrame:
+    """(topic_id, units, boilerplate, service): percent of a topic's units that are boilerplate, and that have no theme."""
+    pct = lambda c: 100.0 * F.avg(c.cast("int"))
+    return units.groupBy("topic_id").agg(F.count("*").alias("units"), pct(F.col("category") == "boilerplate").alias("boilerplate"), pct(F.col("theme_id").isNull()).alias("service"))
+
+
 def dominant(units: DataFrame) -> DataFrame:
     """(topic_id, category, n, share) of each topic's most frequent category; ties go to the one met first by `ord`."""
     n = units.groupBy("topic_id", "category").agg(F.count("*").alias("n"), F.min("ord").alias("met"))

@@ -45,7 +45,7 @@ def crosswalk(rows: DataFrame, table: dict[str, list[str]], column: str) -> Data
 
 def cube(units: DataFrame) -> DataFrame:
     """(party, category, n, share) over theme rows."""
-    n = units.where("theme_id is not null").groupBy("party", "category").agg(F.count("*").alias("n"))
+    n = units.groupBy("party", "category").agg(F.count("theme_id").alias("n")).where("n > 0")
     return n.withColumn("share", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("party")))
 
 

@@ -17,14 +17,30 @@ def election_rows(df: DataFrame) -> DataFrame:
     raise ValueError("unknown election columns")
 
 
+def readable(rows: DataFrame) -> DataFrame:
+    """The rows that name a list, with trimmed names and `n`: blank votes are 0, votes that are no number null."""
+    votes = F.coalesce(F.nullif(F.btrim("votes"), F.lit("")), F.lit("0"))
+    names = {c: F.btrim(F.coalesce(c, F.lit(""))) for c in ("list", "place")}
+    return rows.withColumns(names | {"n": votes.try_cast("bigint")}).where("list != ''")
+
+
 def national_totals(rows: DataFrame) -> DataFrame:
-    """(list, votes, percent, places, unread, first_date) of each list; votes that are no number count as unread."""
-    n = F.expr("try_cast(votes as bigint)")
-    out = rows.groupBy("list").agg(F.coalesce(F.sum(n), F.lit(0)).alias("votes"), F.count_distinct("place").alias("places"), F.count_if(n.isNull()).alias("unread"), F.min("date").alias("first_date"))
+    """(list, votes, percent, places, unread, first_date) of each list with votes that can be read. Places and dates are
+    those of readable rows; the percentage is of the votes of all lists."""
+    place, date = F.when(F.col("n").isNotNull(), F.col("place")), F.when(F.col("n").isNotNull(), F.nullif("date", F.lit("")))
+    out = readable(rows).groupBy("list").agg(F.sum("n").alias("votes"), F.count_distinct(place).alias("places"), F.count_if(F.col("n").isNull()).alias("unread"), F.min(date).alias("first_date")).where("votes is not null")
     whole = F.sum("votes").over(Window.partitionBy(F.lit(0)))
     return out.withColumn("percent", F.when(whole > 0, 100.0 * F.col("votes") / whole).otherwise(0.0))
 
 
+def election_diagnostics(rows: DataFrame) -> DataFrame:
+    """(rows, places, unread, lists, votes): of all rows; places and lists of the readable ones."""
+    every = rows.agg(F.count("*").alias("rows"))
+    seen = lambda c: F.count_distinct(F.when(F.col("n").isNotNull(), F.col(c)))
+    own = readable(rows).agg(seen("place").alias("places"), F.count_if(F.col("n").isNull()).alias("unread"), seen("list").alias("lists"), F.coalesce(F.sum("n"), F.lit(0)).alias("votes"))
+    return every.join(F.broadcast(own))  # one row each
+
+
 def collapse(rows: DataFrame, key: str, order: str | Column = "ord") -> DataFrame:
     """The first row of each key, and how many rows it had as `merged`."""
     rest = [c for c in rows.columns if c != key]

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def shuffled(seed: int, *keys) -> Column:
-    """A pseudo-random order."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """A pseudo-random order that any engine with md5 can repeat: the digest of the seed and the keys."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
 
 
 def top_per_group(df: DataFrame, keys: list, order: list, most: int, rank: str = "selection_rank") -> DataFrame:
@@ -93,6 +93,22 @@ def selection_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("topic_id", "selection").agg(F.count("*").alias("records"), F.count_distinct("domain").alias("domains"), F.max("exception").alias("exception"))
 
 
+def check_topics(useful: list[int], artifacts: list[int], known: list[int]) -> None:
+    """ValueError unless useful and artifact topics are apart and are topics of the table."""
+    if both := sorted(set(useful) & set(artifacts)):
+        raise ValueError(f"topics both useful and artifact: {both}")
+    if unknown := sorted((set(useful) | set(artifacts)) - set(known)):
+        raise ValueError(f"topics that the table lacks: {unknown}")
+
+
+def check_covered(df: DataFrame, topics: list[int]) -> None:
+    """ValueError unless the rows have exactly these topics."""
+    own = df.sparkSession.createDataFrame([(t,) for t in topics], "topic_id int")
+    have = df.select(F.col("topic_id").cast("int").alias("topic_id")).distinct()
+    if not (have.exceptAll(own).isEmpty() and own.distinct().exceptAll(have).isEmpty()):
+        raise ValueError("the sample does not cover exactly the topics asked for")
+
+
 def check_sample(df: DataFrame, cap: int) -> None:
     """ValueError unless URLs are unique and no domain passes the cap in a topic but by an exception."""
     if not df.groupBy("url").count().where("count > 1").isEmpty():

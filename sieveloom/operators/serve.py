@@ -53,6 +53,11 @@ def upper_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return r.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("min"), mid.alias("upper_median"), F.max(value).alias("max"))
 
 
+def condensed(manifest: dict, names: dict[str, str]) -> dict:
+    """The parts of a manifest that a dashboard shows, under its own names; KeyError for a part that is missing."""
+    return {own: manifest[name] for own, name in names.items()}
+
+
 def top_values(df: DataFrame, column: str, most: int) -> DataFrame:
     """The most frequent values, ties by value."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(most)

@@ -28,9 +28,10 @@ def _table(spark, sf, name):
 
 
 def _spread(df):
-    """Rows dealt evenly where a table is fewer files than there are cores; tables of many files are left alone."""
+    """Rows dealt evenly where a table has fewer bytes than make one partition for each core; larger ones are left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores << 25 else df
 
 
 def _docs(spark, sf):
@@ -133,7 +134,8 @@ def _(spark, sf):
 
 @query("theme_labels", f"{DOC_CLASSES} select case theme_id when 1 then 'one' when 2 then 'two' when 3 then 'three' when 4 then 'four' end as label, count(*) as n from classes where theme_id is not null group by all")
 def _(spark, sf):
-    return _doc_units(spark, sf).where("theme_id is not null").groupBy(TAX.label(F.col("theme_id")).alias("label")).agg(F.count("*").alias("n"))
+    n = _doc_units(spark, sf).groupBy("theme_id").agg(F.count("*").alias("n")).where("theme_id is not null")
+    return n.select(TAX.label(F.col("theme_id")).alias("label"), "n")
 
 
 @query("subtheme", f"{DOC_CLASSES} select url, case when a = 0 and b = 0 then null when a >= b then 'a' else 'b' end as subtheme from (select *, {_hits(TAX.subthemes[1]['a'])} as a, {_hits(TAX.subthemes[1]['b'])} as b from classes) where theme_id = 1")
@@ -143,8 +145,22 @@ def _(spark, sf):
 
 @query("subtheme_share", f"{DOC_CLASSES} select count(*) as parent, 100.0 * avg(case when a > b and a > 0 or a = b and a > 0 then 1 else 0 end) as share_a from (select *, {_hits(TAX.subthemes[1]['a'])} as a, {_hits(TAX.subthemes[1]['b'])} as b from classes) where theme_id = 1")
 def _(spark, sf):
-    u = _doc_units(spark, sf).where("theme_id = 1").select(TAX.subtheme(1, F.col("form")).eqNullSafe("a").cast("int").alias("a"))
-    return u.agg(F.count("*").alias("parent"), (100.0 * F.avg("a")).alias("share_a"))
+    u = _doc_units(spark, sf).select(F.when(F.col("theme_id") == 1, TAX.subtheme(1, F.col("form")).eqNullSafe("a").cast("int")).alias("a"))
+    return u.agg(F.count("a").alias("parent"), (100.0 * F.avg("a")).alias("share_a"))
+
+
+def _raw_hits(patterns):
+    return " + ".join(f"len(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', 'z', 'g'), '(?i){p}'))" for p in patterns)
+
+
+@query("winner_occurrences", f"{DOC_CLASSES} select url, cast(case theme_id {' '.join(f'when {k} then {_raw_hits(p)}' for k, p in TAX.themes.items())} else 0 end as integer) as n from classes join corpus using (url)")
+def _(spark, sf):
+    return _doc_units(spark, sf).select("url", TAX.winner_occurrences(F.regexp_replace("text", r"[^\x00-\x7F]", "z"), F.col("theme_id")).alias("n"))
+
+
+@query("topic_service", f"{DOC_CLASSES} select ord % 7 as topic_id, count(*) as units, 100.0 * avg(case when boiler_n > 0 then 1 else 0 end) as boilerplate, 100.0 * avg(case when theme_id is null then 1 else 0 end) as service from classes group by ord % 7")
+def _(spark, sf):
+    return mapping.topic_service(_doc_units(spark, sf).select((F.col("ord") % 7).alias("topic_id"), "category", "theme_id"))
 
 
 _MARKS = " union all ".join(f"select '{k}' as marker, * from classes where {_hits(p)} >= 1" for k, p in TAX.markers.items())
@@ -326,13 +342,18 @@ def _(spark, sf):
 
 
 @query("clean_report", f"""with {STRIPPED}, marks as (select *, row_number() over (partition by {_MARK} order by ord) as k from stripped where length(text) >= 300)
-select 'documents_in' as metric, count(*) as value from corpus union all select 'lines_removed', cast(coalesce(sum(removed), 0) as bigint) from stripped union all select 'too_short', count(*) from stripped where length(text) < 300
+select 'documents_in' as metric, count(*) as value from corpus union all select 'repaired', 0 union all select 'lines_removed', cast(coalesce(sum(removed), 0) as bigint) from stripped union all select 'too_short', count(*) from stripped where length(text) < 300
 union all select 'copies', count(*) from marks where k > 1 union all select 'documents_out', count(*) from marks where k = 1 union all select 'domain_templates', count(*) from local
 union all select 'domains_with_templates', count(distinct domain) from local union all select 'corpus_templates', count(*) from common""")
 def _(spark, sf):
     return clean.report(_docs(spark, sf))
 
 
+@query("template_report", f"with {LINES}, {LOCAL}, most as (select domain from local group by domain order by count(*) desc, domain limit 5) select domain, line, df, df / cast(n as double) as share, cast(k as integer) as rank from (select *, row_number() over (partition by domain order by df desc, line) as k from local where domain in (from most)) where k <= 3")
+def _(spark, sf):
+    return clean.template_report(_docs(spark, sf), 5, 3)
+
+
 @query("language_filter", "select doc_id from documents where coalesce(case when doc_id % 10 = 0 then null else lang end, 'it') = 'it' or length(text) < 300 and lang = 'en'")
 def _(spark, sf):
     d = _table(spark, sf, "documents").withColumn("language", F.when(F.col("doc_id") % 10 != 0, F.col("lang")))
@@ -345,16 +366,32 @@ def _(spark, sf):
     return clean.long_enough(_table(spark, sf, "documents"), 2000).select("doc_id")
 
 
-@query("language_detect")
+_STOP = ", ".join(f"len(list_filter(w, lambda x: list_contains({own.split()!r}, x))) as n{i}" for i, own in enumerate(X.STOP_WORDS.values()))
+_BEST = f"greatest({', '.join(f'n{i}' for i in range(len(X.STOP_WORDS)))})"
+_TOLD = f"told as (select *, case when {_BEST} = 0 then 'unknown' {' '.join(f'when n{i} = {_BEST} then {k!r}' for i, k in enumerate(X.STOP_WORDS))} end as detected from (select *, {_STOP} from (select lang as language, regexp_split_to_array(lower(text), '[^\\p{{L}}]+') as w from documents)))"
+
+
+@query("language_detect", f"with {_TOLD} select language, detected, count(*) as n from told group by all")
 def _(spark, sf):
     return _docs(spark, sf).groupBy("language", X.language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
 
 
-@query("mojibake_repair")
+@query("language_changes", f"with {_TOLD} select language, case when detected = 'unknown' then language else detected end as detected, count(*) as n from told group by all")
+def _(spark, sf):
+    return clean.language_changes(_docs(spark, sf))
+
+
+#: Texts as UTF-8 read as Latin-1 shows them; some rows are also cut within a character, which nothing repairs.
+_BYTES = "list_transform(range(1, cast(strlen(text) as bigint) + 1), lambda i: chr(cast(('0x' || substr(hex(encode(text)), cast(2 * i - 1 as bigint), 2)) as integer)))"
+_DAMAGE = "'Ã[\\x{80}-\\x{bf}]|â€[\\x{80}-\\x{9f}]|Â[\\x{a0}-\\x{bf}]'"
+
+
+@query("mojibake_repair", f"""with t as (select doc_id as ord, substr(text, 1, 400) || ' più è – così' as text from documents), b as (select ord, text, array_to_string({_BYTES}, '') || case when ord % 3 = 0 then 'Ã' else '' end as broken from t)
+select ord, regexp_matches(broken, {_DAMAGE}) as damaged, ord % 3 != 0 and not regexp_matches(text, {_DAMAGE}) as restored from b""")
 def _(spark, sf):
-    d = _docs(spark, sf).select("ord", "text", F.encode("text", "UTF-8").alias("raw"))
-    broken = d.withColumn("broken", F.try_to_number(F.lit("1"), F.lit("9")).cast("string")).withColumn("broken", F.decode("raw", "ISO-8859-1"))
-    return broken.select("ord", X.mojibake(F.col("broken")).alias("damaged"), (X.repaired(F.col("broken")) == F.col("text")).alias("restored"))
+    d = _docs(spark, sf).select("ord", F.concat(F.substring("text", 1, 400), F.lit(" più è – così")).alias("text"))
+    broken = F.concat(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), F.when(F.col("ord") % 3 == 0, "Ã").otherwise(""))
+    return d.withColumn("broken", broken).select("ord", X.mojibake(F.col("broken")).alias("damaged"), (X.repaired(F.col("broken")) == F.col("text")).alias("restored"))
 
 
 # ---- audit
@@ -436,10 +473,22 @@ def _(spark, sf):
     return audit.near_duplicates_by_prefix(_review(spark, sf), 30)
 
 
-@query("anomalies", f"""with {REVIEW}, g as (select estratto, count(*) as n from review where estratto != '' group by estratto) select 'rows' as metric, count(*) as value from review union all select 'repeated_url_records', 0
-union all select 'largest_excerpt_group', coalesce(max(n) filter (n > 1), 0) from g union all select 'non_latin_titles', 0""")
+_ODD = f"{REVIEW}, odd as (select case when right(url, 1) = '7' then 'doc:7' else url end as url, case when language = 'es' then 'it' else language end as language, estratto, case when right(url, 1) = '3' then title || ' Ж' when right(url, 1) = '4' then title || ' é' else title end as title from review)"
+
+
+@query("anomalies", f"""with {_ODD}, g as (select estratto, count(*) as n from odd where estratto != '' group by estratto), u as (select count(*) as n from odd group by url having count(*) > 1)
+select 'rows' as metric, count(*) as value from odd union all select 'repeated_url_records', cast(coalesce(sum(n), 0) as bigint) from u
+union all select 'largest_excerpt_group', coalesce(max(n), 0) from g union all select 'non_latin_titles', count(*) from odd where language = 'it' and regexp_matches(title, '[\\p{{Cyrillic}}\\p{{Greek}}\\p{{Han}}\\p{{Arabic}}\\p{{Hebrew}}\\p{{Hangul}}\\p{{Hiragana}}\\p{{Katakana}}ªº]')""")
+def _(spark, sf):
+    last = F.substring("url", -1, 1)
+    title = F.concat("title", F.when(last == "3", " Ж").when(last == "4", " é").otherwise(""))
+    d = _review(spark, sf).select(F.when(last == "7", "doc:7").otherwise(F.col("url")).alias("url"), F.when(F.col("language") == "es", "it").otherwise(F.col("language")).alias("language"), "estratto", title.alias("title"))
+    return audit.anomalies(d)
+
+
+@query("largest_group_topics", f"with {TOPICS}, n as (select estratto, count(*) as n from topics group by estratto), b as (select estratto from n order by n desc, estratto limit 1) select estratto, cast(topic_id as integer) as topic_id, count(*) as records from topics where estratto = (from b) group by all")
 def _(spark, sf):
-    return audit.anomalies(_review(spark, sf))
+    return audit.largest_group_topics(_topics(spark, sf))
 
 
 # ---- topics
@@ -497,19 +546,49 @@ def _(spark, sf):
     return sample.budgets(c, {"programma": 20, "comunicato": 10}).select("type", "url", "rank")
 
 
-@query("stratified_sample")
+@query("stratified_sample", f"with {TOPICS}, r as (select *, row_number() over (partition by topic_id order by md5(concat_ws('|', '42', topic_id, url)), url) as k from topics) select cast(topic_id as integer) as topic_id, url, cast(k as integer) as selection_rank from r where k <= 5")
 def _(spark, sf):
     return sample.sample_per_group(_topics(spark, sf), ["topic_id"], "url", 5).select("topic_id", "url", "selection_rank")
 
 
-@query("three_part_sample")
+def _md5(seed, *keys):
+    return f"md5(concat_ws('|', '{seed}', {', '.join(keys)}))"
+
+
+@query("three_part_sample", f"""{DOC_CLASSES}, a as (select url, 'theme' as stratum from classes where theme_id is not null qualify row_number() over (partition by theme_id order by {_md5(42, 'theme_id', 'url')}, url) <= 4),
+b as (select url, 'unassigned' as stratum from classes where category = 'non assegnato' order by {_md5(43, 'url')}, url limit 10), c as (select url, 'random' as stratum from classes where url not in (select url from a union all select url from b) order by {_md5(44, 'url')}, url limit 20),
+e as (from a union all from b union all from c) select url, stratum, cast(row_number() over (order by {_md5(45, 'url')}, url) as integer) as position from e""")
 def _(spark, sf):
     return sample.three_parts(_doc_units(spark, sf), 4, 10, 20).select("url", "stratum", "position")
 
 
-@query("review_sample")
+#: Greedy diversified picks as a rule by ranks: `l` is a row's number in its domain, after `uses` earlier picks.
+_PICKED = "select topic_id, url, domain, l > {cap} as exception, row_number() over (partition by topic_id order by case when l > {cap} then 1 else 0 end, case when l > {cap} then 0 else l end, o) as pick from {rows}"
+_REVIEWED = f"""with {TOPICS}, once as (select topic_id, url, coalesce(domain, '') as domain, weights[topic_id + 1] as w from topics qualify row_number() over (partition by title, estratto order by url) = 1),
+o1 as (select *, row_number() over (partition by topic_id order by w desc, url) as o from once where topic_id in (1, 2)), l1 as (select *, row_number() over (partition by topic_id, domain order by o) as l from o1),
+top as (select * from ({_PICKED.format(cap=2, rows='l1')}) where pick <= 4), o2 as (select once.*, row_number() over (partition by topic_id order by {_md5(42, 'topic_id', 'url')}, url) as o from once where topic_id in (1, 2) and url not in (select url from top)),
+uses as (select topic_id, domain, count(*) as uses from top group by all), l2 as (select o2.*, coalesce(uses, 0) + row_number() over (partition by topic_id, domain order by o) as l from o2 left join uses using (topic_id, domain)),
+rnd as (select * from ({_PICKED.format(cap=2, rows='l2')}) where pick <= 4), art as (select topic_id, url, domain, false as exception, row_number() over (partition by topic_id order by w desc, url) as pick from once where topic_id in (0, 3) qualify pick <= 2),
+every as (select *, 'TOP' as selection from top union all select *, 'RND' from rnd union all select *, 'ART' from art)"""
+
+
+@query("review_sample", f"{_REVIEWED} select printf('T%02d-%s-%02d', cast(topic_id as integer), selection, cast(pick as integer)) as review_id, url, domain, selection, exception from every")
+def _(spark, sf):
+    return _reviewed(spark, sf).select("review_id", "url", "domain", "selection", "exception")
+
+
+def _reviewed(spark, sf):
+    return sample.review_sample(_topics(spark, sf).withColumn("domain", F.coalesce("domain", F.lit(""))), [1, 2], [0, 3], 4, 4, 2, 2)
+
+
+@query("selection_summary", f"{_REVIEWED} select cast(topic_id as integer) as topic_id, selection, count(*) as records, count(distinct domain) as domains, bool_or(exception) as exception from every group by topic_id, selection")
+def _(spark, sf):
+    return sample.selection_summary(_reviewed(spark, sf))
+
+
+@query("record_ids", f"with {TOPICS} select url, printf('T%02d-TOP-%02d', cast(topic_id as integer), cast(k as integer)) as review_id from (select *, row_number() over (partition by topic_id order by weights[topic_id + 1] desc, url) as k from topics) where k <= 3")
 def _(spark, sf):
-    return sample.review_sample(_topics(spark, sf).withColumn("domain", F.coalesce("domain", F.lit(""))), [1, 2], [0, 3], 4, 4, 2, 2).select("review_id", "url", "domain", "selection", "exception")
+    return sample.record_ids(audit.top_records(_topics(spark, sf), 3), "topic_id", "TOP", "selection_rank").select("url", "review_id")
 
 
 # ---- annotation and agreement
@@ -602,6 +681,33 @@ def _(spark, sf):
     return annotate.file_counts(d, ["a", "b"])
 
 
+_VAL = """val as (select doc_id, ['one', 'two', 'three', 'none', ''][1 + doc_id % 5] as outcome, ['one', 'two', 'three', 'none', 'dubbio', ''][1 + (doc_id * 7 + quality) % 6] as first_r1, ['one', '', 'two'][1 + doc_id % 3] as second_r1,
+  ['one', 'two', 'three', 'none', 'dubbio', null][1 + (doc_id * 5 + toxic) % 6] as first_r2, ['', 'three', 'one', 'two'][1 + doc_id % 4] as second_r2 from labels)"""
+
+
+def _validation(spark, sf):
+    i = F.col("doc_id")
+    pick = lambda words, at: F.get(F.array(*[F.lit(w) for w in words]), at.cast("int"))
+    six = ["one", "two", "three", "none", "dubbio"]
+    return _table(spark, sf, "labels").select(
+        "doc_id", pick(["one", "two", "three", "none", ""], i % 5).alias("outcome"), pick([*six, ""], (i * 7 + F.col("quality")) % 6).alias("first_r1"), pick(["one", "", "two"], i % 3).alias("second_r1"),
+        pick([*six, None], (i * 5 + F.col("toxic")) % 6).alias("first_r2"), pick(["", "three", "one", "two"], i % 4).alias("second_r2"),
+    )
+
+
+@query("policy_labels", f"with {_VAL} select doc_id, case when first_r2 is null or first_r2 in ('', 'dubbio') then null when first_r2 in ('none', 'three') then 'no' else 'yes' end as policy, outcome = first_r1 and outcome != '' or outcome = coalesce(first_r2, '-') and outcome != '' as confirmed from val")
+def _(spark, sf):
+    return _validation(spark, sf).select("doc_id", annotate.policy(F.col("first_r2"), ["none", "three"]).alias("policy"), annotate.confirmed(F.col("outcome"), F.col("first_r1"), F.col("first_r2")).alias("confirmed"))
+
+
+@query("lexicon_validation", f"""with {_VAL}, p as (select *, outcome not in ('none', '') as own, case when coalesce(first_r1, '') in ('', 'dubbio') then null else first_r1 not in ('none', 'three') end as p1, case when coalesce(first_r2, '') in ('', 'dubbio') then null else first_r2 not in ('none', 'three') end as p2 from val)
+select count(*) filter (own) as labelled, 100.0 * avg(case when outcome in (first_r1, second_r1, coalesce(first_r2, '-'), second_r2) then 1 else 0 end) filter (own) as generous, 100.0 * avg(case when outcome = first_r1 then 1 else 0 end) filter (own) as strict,
+count(*) filter (own and not p1 and not p2) as false_positives, 100.0 * avg(case when not p1 and not p2 then 1 else 0 end) filter (own) as false_percent, count(*) filter (p1 is not null and p2 is not null) as policy_rows,
+100.0 * avg(case when p1 = p2 then 1 else 0 end) filter (p1 is not null and p2 is not null) as policy_agreement from p""")
+def _(spark, sf):
+    return annotate.lexicon_validation(_validation(spark, sf), "none", ["none", "three"])
+
+
 # ---- web
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1))"
@@ -693,20 +799,32 @@ def _(spark, sf):
 
 # ---- elections, bills, polls
 
-_VOTES = "v as (select c_mktsegment as list, n_name as place, case when l_linenumber = 7 then 'n.d.' else cast(cast(l_quantity as bigint) as varchar) end as votes, strftime(o_orderdate, '%Y-%m-%d') as date from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
+_VOTES = "v as (select case l_linenumber when 6 then '  ' when 5 then ' ' || c_mktsegment || ' ' else c_mktsegment end as list, case when l_linenumber = 5 then n_name || ' ' else n_name end as place, case l_linenumber when 7 then 'n.d.' when 4 then '' when 3 then ' 12 ' else cast(cast(l_quantity as bigint) as varchar) end as votes, strftime(o_orderdate, '%Y-%m-%d') as date from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"
 
 
 def _votes(spark, sf):
     li, o, c, n = (_table(spark, sf, t) for t in ("lineitem", "orders", "customer", "nation"))
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    return j.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("DATAELEZIONE"), F.lit("x").alias("CIRC-REG"), F.col("n_name").alias("COMUNE"), F.when(F.col("l_linenumber") == 7, "n.d.").otherwise(F.col("l_quantity").cast("long").cast("string")).alias("VOTILISTA"), F.col("c_mktsegment").alias("DESCRLISTA"))
+    i, seg = F.col("l_linenumber"), F.col("c_mktsegment")
+    place = F.when(i == 5, F.concat("n_name", F.lit(" "))).otherwise(F.col("n_name"))
+    votes = F.when(i == 7, "n.d.").when(i == 4, "").when(i == 3, " 12 ").otherwise(F.col("l_quantity").cast("long").cast("string"))
+    name = F.when(i == 6, "  ").when(i == 5, F.concat(F.lit(" "), seg, F.lit(" "))).otherwise(seg)
+    return j.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("DATAELEZIONE"), F.lit("x").alias("CIRC-REG"), place.alias("COMUNE"), votes.alias("VOTILISTA"), name.alias("DESCRLISTA"))
+
 
+_READ = f"{_VOTES}, r as (select trim(list) as list, trim(place) as place, date, case when trim(votes) = '' then 0 else try_cast(trim(votes) as bigint) end as n from v where trim(list) != '')"
 
-@query("election_totals", f"with {_VOTES} select list, cast(coalesce(sum(try_cast(votes as bigint)), 0) as bigint) as votes, count(distinct place) as places, count(*) filter (try_cast(votes as bigint) is null) as unread, min(date) as first_date, 100.0 * sum(try_cast(votes as bigint)) / sum(sum(try_cast(votes as bigint))) over () as percent from v group by list")
+
+@query("election_totals", f"with {_READ}, t as (select list, cast(sum(n) as bigint) as votes, count(distinct place) filter (n is not null) as places, count(*) filter (n is null) as unread, min(date) filter (n is not null) as first_date from r group by list having sum(n) is not null) select *, 100.0 * votes / sum(votes) over () as percent from t")
 def _(spark, sf):
     return public.national_totals(public.election_rows(_votes(spark, sf)))
 
 
+@query("election_diagnostics", f"with {_READ} select (select count(*) from v) as rows, count(distinct place) filter (n is not null) as places, count(*) filter (n is null) as unread, count(distinct list) filter (n is not null) as lists, cast(coalesce(sum(n), 0) as bigint) as votes from r")
+def _(spark, sf):
+    return public.election_diagnostics(public.election_rows(_votes(spark, sf)))
+
+
 @query("first_row_collapse", "select l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey, l_shipdate)) as l_partkey, arg_min(l_shipdate, (l_linenumber, l_partkey, l_shipdate)) as l_shipdate, count(*) as merged from lineitem group by l_orderkey")
 def _(spark, sf):
     return public.collapse(_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate", "l_linenumber"), "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_shipdate")).drop("l_linenumber")
@@ -757,6 +875,49 @@ def _(spark, sf):
     return public.rank_gap(both.where("month = a"), both.where("month = b"), "theme")
 
 
+@query("group_names", "select o_orderkey, case when o_orderkey % 4 = 3 then 'gruppo 12' else o_orderstatus || '-gruppo' end as t from orders")
+def _(spark, sf):
+    i, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "dd.MM.yyyy")
+    raw = F.concat(F.col("o_orderstatus"), F.lit("-gruppo "), F.when(i == 0, F.concat(F.lit("("), day, F.lit("-"), day, F.lit(")"))).when(i == 1, F.concat(F.lit("("), day, F.lit("-)"))).otherwise(""))
+    return _table(spark, sf, "orders").select("o_orderkey", X.group_name(F.when(i == 3, "gruppo 12").otherwise(raw)).alias("t"))
+
+
+@query("capture_urls", "select page_id, 'https://web.archive.org/web/' || (20240101000000 + page_id) || 'id_/' || url as t from pages")
+def _(spark, sf):
+    return _table(spark, sf, "pages").select("page_id", web.capture_url((F.col("page_id") + F.lit(20240101000000)).cast("string"), F.col("url")).alias("t"))
+
+
+#: Poll answers made of events: one line a party, a number or a dash, as the register writes them.
+def _poll_blocks(spark, sf):
+    i = F.col("event_id")
+    number = F.when(i % 5 == 0, "-").otherwise(F.concat_ws(",", (i % 100).cast("string"), (i % 10).cast("string")))
+    block = F.concat(F.lit("<b>Lista "), F.col("event_type"), F.lit("</b> "), number, F.when(i % 2 == 0, F.concat(F.lit(" % "), (i % 90).cast("string"))).otherwise(""), F.lit("<br/>nessun numero<br>Altri 2"))
+    return _table(spark, sf, "events").where("value is not null").select("event_id", block.alias("block"))
+
+
+@query("poll_answers", """with e as (select event_id, event_type, case when event_id % 5 = 0 then null else event_id % 100 + event_id % 10 / 10.0 end as x from events where value is not null)
+select event_id, 'Lista ' || event_type as label, case when event_id % 2 = 0 then 2 else 1 end as columns, x as first, case when event_id % 2 = 0 then cast(event_id % 90 as double) else x end as last from e union all select event_id, 'Altri', 1, 2.0, 2.0 from e""")
+def _(spark, sf):
+    rows = _poll_blocks(spark, sf).select("event_id", F.explode(public.answers(F.col("block"))).alias("a"))
+    return rows.select("event_id", F.col("a.label").alias("label"), F.size("a.values").alias("columns"), F.get("a.values", F.lit(0)).alias("first"), F.get("a.values", F.size("a.values") - 1).alias("last"))
+
+
+@query("vote_questions", "select user_id, bool_or(event_type in ('click', 'purchase')) and count(distinct case when event_type in ('click', 'purchase', 'login', 'signup', 'error') then event_type end) >= 3 as asks from events group by user_id")
+def _(spark, sf):
+    types = ("click", "purchase", "login", "signup", "error")
+    e = _table(spark, sf, "events").groupBy("user_id").agg(F.array_distinct(F.collect_set(F.concat(F.lit("Lista "), "event_type"))).alias("answers"))
+    e = e.withColumn("question", F.when(F.exists("answers", lambda a: a.rlike("click|purchase")), "Quale partito voterebbe oggi?").otherwise("Che cosa ne pensa?"))
+    return e.select("user_id", public.vote_question(F.col("question"), F.col("answers"), r"(?i)\bvoterebbe\b", {t: (rf"(?i)\b{t}\b",) for t in types}, r"(?i)\bnessuno\b", 3).alias("asks"))
+
+
+@query("salience_pairs", "select user_id, t as theme, cast(v as double) as value from (select user_id, unnest(['inflazione', 'sanità', 'lavoro']) as t, unnest([user_id % 60 + 1, user_id % 50 + 2, user_id % 40 + 3]) as v from (select distinct user_id from events))")
+def _(spark, sf):
+    i = F.col("user_id")
+    text = F.format_string("Altrove inflazione (99%%). In Italia, prima viene l'inflazione (%d%%), poi la sanità (%d%%), il lavoro (%d%%), ancora lavoro (1%%). Fonte: prova (77%%)", i % 60 + 1, i % 50 + 2, i % 40 + 3)
+    pairs = public.salience_block(text, "in italia,", "fonte:", ("inflazione", "sanità", "lavoro"))
+    return _table(spark, sf, "events").select("user_id").distinct().select("user_id", F.explode(pairs).alias("p")).select("user_id", "p.theme", "p.value")
+
+
 # ---- serving
 
 

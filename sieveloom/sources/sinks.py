@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import base64
+import csv
 import hashlib
 import html
+import io
 import json
 import os
 import re
@@ -28,8 +30,6 @@ def csv_table(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
 
 def csv_rows(rows: Iterable[dict], path: str, columns: list[str] | None = None) -> None:
     """A small gold table as one file; without columns the sorted union of all keys."""
-    import csv
-
     rows = list(rows)
     columns = columns or sorted({k for r in rows for k in r})
     with open(path, "w", newline="", encoding="utf-8") as f:
@@ -46,6 +46,14 @@ def tables(named: dict[str, DataFrame], folder: str) -> dict[str, str]:
     return out
 
 
+def topic_export(review: DataFrame, terms: DataFrame, metadata: dict, folder: str) -> dict[str, str]:
+    """The review table, the terms of each topic and the run's metadata below one folder."""
+    out = tables({"review": review, "terms": terms}, folder)
+    one = review.sparkSession.createDataFrame([(json.dumps(metadata, sort_keys=True, ensure_ascii=False),)], "value string")
+    one.coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
+    return out | {"metadata": f"{folder}/metadata"}
+
+
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
     cell = lambda v: str("" if v is None else v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(columns) + " |", "| " + " | ".join("---" for _ in columns) + " |"]
@@ -61,24 +69,16 @@ def markdown_report(title: str, sections: dict[str, DataFrame], most: int = 200)
 
 
 def refreshed(text: str, values: dict[str, object]) -> tuple[str, list[str]]:
-    """Text with the numbers between <!--n:key--> and <!--/n--> replaced; and the keys without a value."""
-    missing: list[str] = []
-
-    def put(m):
-        if m[1] not in values:
-            missing.append(m[1])
-            return m[0]
-        return f"<!--n:{m[1]}-->{values[m[1]]}<!--/n-->"
-
-    return re.sub(r"<!--n:([\w.]+)-->.*?<!--/n-->", put, text, flags=re.S), missing
+    """Text with the numbers between <!--n:key--> and <!--/n--> replaced; and the keys without a value, sorted, each once."""
+    parts = re.split(r"(<!--n:[\w.]+-->)(.*?)(<!--/n-->)", text, flags=re.S)  # plain, opening, number, closing, plain, …
+    keys = [x[len("<!--n:") : -len("-->")] for x in parts[1::4]]
+    parts[2::4] = [str(values[k]) if k in values else old for k, old in zip(keys, parts[2::4], strict=True)]
+    return "".join(parts), sorted(set(keys) - set(values))
 
 
 def sha256_file(path: str) -> str:
-    h = hashlib.sha256()
     with open(path, "rb") as f:
-        while block := f.read(1 << 20):
-            h.update(block)
-    return h.hexdigest()
+        return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -128,8 +128,9 @@ def inside(root: str, path: str) -> Path:
 
 def html_table(rows: list[dict], columns: list[str], name: str = "table.csv") -> str:
     """An HTML table with its CSV as a download."""
-    text = "\n".join([",".join(columns), *(",".join(str(r.get(c, "")) for c in columns) for r in rows)])
+    sheet = io.StringIO()
+    csv.writer(sheet, lineterminator="\n").writerows([columns, *([r.get(c, "") for c in columns] for r in rows)])
     body = "".join("<tr>" + "".join(f"<td>{html.escape(str(r.get(c, '')))}</td>" for c in columns) + "</tr>" for r in rows)
     head = "".join(f"<th>{html.escape(c)}</th>" for c in columns)
-    data = base64.b64encode(text.encode()).decode()
+    data = base64.b64encode(sheet.getvalue().encode()).decode()
     return f'<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table><a download="{html.escape(name)}" href="data:text/csv;base64,{data}">CSV</a>'

@@ -1,5 +1,6 @@
 """Operators that SQL does not express, and cases from hand."""
 
+import base64
 import json
 import random
 
@@ -10,11 +11,15 @@ from sieveloom import schema
 from sieveloom.functions import text as X
 from sieveloom.functions import web
 from sieveloom.functions.taxonomy import Taxonomy
-from sieveloom.operators import annotate, audit, clean, mapping, public, sample, topics
+from sieveloom.operators import annotate, audit, clean, mapping, public, sample, serve, topics
+from sieveloom.plans import catalogue
 from sieveloom.sources import documents, files, remote, sinks
 from sieveloom.streaming import incremental
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def one(spark, column, *values):
     df = spark.createDataFrame([values], [f"c{i}" for i in range(len(values))])
     return df.select(column(*[F.col(f"c{i}") for i in range(len(values))]).alias("x")).first().x
@@ -262,3 +267,60 @@ def test_streams_equal_batches(spark, tmp_path):
     known, found = (spark.createDataFrame(r, "url string, i int") for r in ([("a", 1)], [("a", 9), ("b", 5), ("b", 4)]))
     once = incremental.accumulated(known, found, ["url"], ["i"])
     assert sorted(map(tuple, once.collect())) == [("a", 1), ("b", 4)] == sorted(map(tuple, incremental.accumulated(once, found, ["url"], ["i"]).collect()))
+
+
+@pytest.mark.parametrize("name", ["layer_divergence", "party_theme_cube", "theme_share_themes_only", "h1_index", "theme_labels", "subtheme"])
+def test_patterns_stay_out_of_filters(spark, name):
+    """A filter on classes must not write the lexicon out again below the counts."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    filters = [line for line in text.split("\n") if line.lstrip(" :+-").startswith("Filter")]
+    assert not any("regexp_replace" in line or "regexp_count" in line for line in filters)
+
+
+def test_labels_come_back_damaged():
+    known = ["Sanità e salute", "Politica non tematica", "Criminalità", "Scuola", "Scuola superiore"]
+    want = {
+        "sanita e salute": "Sanità e salute", "Sanit� e salute": "Sanità e salute", "olitica non tematica": "Politica non tematica", "CRIMINALIT": "Criminalità",
+        "scuola": "Scuola", "scuol": "Scuola", "cuola": "Scuola", "  Altro  tema ": "Altro  tema", "": "", None: "", "Politca non tematica": "Politica non tematica",
+    }
+    assert {k: annotate.repaired_label(k, known) for k in want} == want
+    assert annotate.repaired_label(" ", known, note="Dùbbio, forse") == "dubbio"
+
+
+def test_numbers_in_a_text_are_refreshed():
+    text = "a <!--n:x-->1<!--/n--> b <!--n:z-->2<!--/n--> <!--n:y.k-->3<!--/n--><!--n:z-->4<!--/n-->"
+    got, missing = sinks.refreshed(text, {"x": 10})
+    assert got == text.replace("1<", "10<", 1) and missing == ["y.k", "z"]
+    page = sinks.html_table([{"a": 'x,"y"', "b": 1}], ["a", "b"])
+    assert base64.b64decode(page.split("base64,")[1].split('"')[0]).decode() == 'a,b\n"x,""y""",1\n'
+
+
+def test_configuration_checks(spark):
+    sample.check_topics([1, 2], [0, 3], [0, 1, 2, 3])
+    for useful, artifacts in (([1, 2], [2]), ([1], [9])):
+        with pytest.raises(ValueError):
+            sample.check_topics(useful, artifacts, [0, 1, 2, 3])
+    rows = spark.createDataFrame([(1,), (2,), (2,)], "topic_id int")
+    sample.check_covered(rows, [1, 2])
+    for topics in ([1], [1, 2, 3]):
+        with pytest.raises(ValueError):
+            sample.check_covered(rows, topics)
+    assert serve.condensed({"a": 1, "b": 2}, {"x": "a"}) == {"x": 1}
+
+
+def test_topic_export(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"u{i}", "d") for i in range(6)], "ord long, url string, domain string")
+    w = spark.createDataFrame([(i, [0.2 * i, 1.0 - 0.2 * i]) for i in range(6)], "ord long, weights array<double>")
+    terms = spark.createDataFrame([(0, "a, b"), (1, "c")], "topic_id int, terms string")
+    review = topics.review_table(docs, w, terms)
+    assert review.columns == ["topic_id", "url", "domain", "topic_0_peso", "topic_1_peso", "confidenza_topic", "termini_caratteristici"]
+    assert {r.url: (r.topic_id, r.termini_caratteristici) for r in review.collect()}["u5"] == (0, "a, b")
+    paths = sinks.topic_export(review, terms, {"k": 2}, str(tmp_path))
+    assert spark.read.option("header", True).csv(paths["review"]).count() == 6 and spark.read.text(paths["metadata"]).first().value == '{"k": 2}'
+
+
+def test_audit_tables(spark):
+    t = catalogue._topics(spark, SF).withColumn("language", F.lit("it"))
+    made = audit.audit_tables(t, 12)
+    assert len(made) == 11 and all(df.columns for df in made.values()) and {r.kind for r in made["duplicates"].collect()} == {"exact_excerpt", "title_excerpt", "prefix"}
