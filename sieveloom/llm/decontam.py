@@ -2,30 +2,37 @@
 
 A test item of m characters (case folded, white space squeezed) has an error budget of
 k = floor(RATE * m). It is split into k + 1 pieces: a text within k edits of the item
-holds at least one piece unchanged, where it stands give or take k. An Aho-Corasick
-automaton finds the pieces in every whole text. A stretch around a hit that lacks more
-than GRAM * k of the item's distinct GRAM-letter runs is more than k edits away, as an edit
-breaks at most GRAM of them; around the other hits Myers' bit-parallel algorithm gives the least edit distance of the item to any stretch of the text.
-
-The items are the query set. They are taken in blocks of at most BLOCK_ITEMS items, found
-by a hash of the item, so what one pass carries to the executors is bounded however many
-there are; every block meets every document. The texts are never shuffled.
+holds at least one piece unchanged, where it stands give or take k. The pieces are an index
+of hashes of their first WIDTH characters, in arrays; the runs of WIDTH characters of every
+whole text are hashed at one go and looked up in it, and the pieces found are compared in
+full. A stretch around a hit that lacks more than GRAM * k of the item's distinct GRAM-letter
+runs is more than k edits away, as an edit breaks at most GRAM of them; around the other hits
+Myers' bit-parallel algorithm gives the least edit distance of the item to any stretch of
+the text.
+
+The items are the query set. They go to the executors as one index, so the corpus is scanned
+once, up to BLOCK_ITEMS items or BLOCK_CHARS characters; more are taken in blocks by a hash of
+the item, one scan each, so that what an executor holds is bounded however many there are.
+Every block meets every document. The texts are never shuffled.
 
 Edge cases: null and empty items match nothing; items under 1 / RATE characters must
 match exactly; equal items are all reported; null and empty texts hold nothing;
 documents without an id appear with a null doc_id; repeated rows are reported each; extra
-columns are ignored by matches() and kept by decontaminated().
+columns are ignored by matches() and kept by decontaminated(). Empty tables of either kind
+match nothing. Hashing takes SLICE characters at a time, however long a text is.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveloom.llm import common as c
 
-RATE, BLOCK_ITEMS, GRAM = 0.1, 4_000, 5
+RATE, GRAM, WIDTH = 0.1, 5, 8
+BLOCK_ITEMS, BLOCK_CHARS, SLICE = 200_000, 40_000_000, 1 << 18
 
 
 def folded(text: str | None) -> str:
@@ -77,67 +84,103 @@ def myers(pattern_bits: dict[str, int], m: int, text: str, k: int) -> tuple[int,
     return (best, end) if best <= k else None
 
 
-class Matcher:
-    """The items of one block."""
+class Index:
+    """The pieces of the items of one block, by a hash of their first WIDTH characters (or all, of shorter ones)."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        import ahocorasick
-
-        self.items, found = [], {}
+        self.ids, self.texts, self.known = [], [], {}
+        rows: dict[int, list[tuple[int, int, int]]] = {}
+        self.budget = []
         for item_id, raw in items:
-            text = folded(raw)
-            if not text:
-                continue
-            m = len(text)
-            k = int(rate * m)
+            if text := folded(raw):
+                k = int(rate * len(text))
+                for x, y in pieces(len(text), k):
+                    rows.setdefault(min(WIDTH, y - x), []).append((len(self.ids), x, y - x))
+                self.ids.append(item_id)
+                self.texts.append(text)
+                self.budget.append(k)
+        self.parts = {}
+        for width, own in rows.items():
+            heads = "".join(self.texts[n][x : x + width] for n, x, _ in own)
+            h = c.window_hashes(_points(heads), width)[::width]
+            order = np.argsort(h, kind="stable")
+            bits = max(16, (8 * len(h)).bit_length())
+            there = np.zeros(1 << bits, bool)
+            there[h >> np.uint64(64 - bits)] = True
+            self.parts[width] = (h[order], np.array(own, np.int32)[order], there, np.uint64(64 - bits))
+
+    def hits(self, points: np.ndarray):
+        """(place, item number, the piece's place in the item, its size) of the index's runs in an array of code points."""
+        for width, (known, rows, there, shift) in self.parts.items():
+            for first in range(0, max(0, len(points) - width + 1), SLICE):
+                h = c.window_hashes(points[first : first + SLICE + width - 1], width)
+                at = np.flatnonzero(there[h >> shift])
+                lo, hi = (np.searchsorted(known, h[at], side) for side in ("left", "right"))
+                some = np.flatnonzero(hi > lo)
+                if len(some):
+                    n = (hi - lo)[some]
+                    yield np.repeat(at[some] + first, n), *rows[c.spread(lo[some], n)].T
+
+    def item(self, n: int) -> tuple[dict[str, int], set[str]]:
+        """(places of each character as bits, letter runs) of an item that has hits."""
+        if n not in self.known:
+            if len(self.known) > 4_000:
+                self.known.clear()
             bits: dict[str, int] = {}
-            for i, ch in enumerate(text):
+            for i, ch in enumerate(self.texts[n]):
                 bits[ch] = bits.get(ch, 0) | 1 << i
-            for a, b in pieces(m, k):
-                found.setdefault(text[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, text, bits, m, k, grams(text)))
-        self.automaton = ahocorasick.Automaton()
-        for piece, where in found.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if found:
-            self.automaton.make_automaton()
-        self.useful = bool(found)
-
-    def search(self, text: str) -> list[tuple[int, int, int]]:
-        """(item number, distance, end in the folded text) of the best match of each item found."""
-        if not self.useful:
-            return []
-        spans: dict[int, list[list[int]]] = {}
-        for end, (size, where) in self.automaton.iter(text):
-            for number, at in where:
-                _, _, _, m, k, _ = self.items[number]
-                start = end + 1 - size - at
-                lo, hi = max(0, start - k), min(len(text), start + m + k)
-                own = spans.setdefault(number, [])
-                if own and lo <= own[-1][1] and lo >= own[-1][0]:
-                    own[-1][1] = max(own[-1][1], hi)
-                else:
-                    own.append([lo, hi])
+            self.known[n] = bits, grams(self.texts[n])
+        return self.known[n]
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """(text number, item number, distance, end in the folded text) of the best match of each item in each text."""
         out = []
-        for number, own in spans.items():
-            _, _, bits, m, k, runs = self.items[number]
-            best = None
-            for lo, hi in own:
-                if len(runs) > GRAM * k and lacks(runs, text[lo:hi], GRAM * k):
-                    continue
-                if (got := myers(bits, m, text[lo:hi], k)) and (best is None or got[0] < best[0]):
-                    best = (got[0], lo + got[1])
-            if best:
-                out.append((number, *best))
+        for lo, hi in c.slices(texts, SLICE):
+            whole = "\n".join(texts[lo:hi])  # folded texts hold no line break, so no piece crosses one
+            border = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
+            found = list(self.hits(_points(whole)))
+            if not found:
+                continue
+            place, number, at, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            text = np.searchsorted(border, place, "right") - 1
+            order = np.lexsort((place - at, number, text))
+            spans: dict[tuple[int, int], list[list[int]]] = {}
+            for t, n, p, a, s in zip(*(x[order].tolist() for x in (text, number, place, at, size)), strict=True):
+                if whole.startswith(self.texts[n][a : a + s], p):
+                    k, first = self.budget[n], int(border[t])
+                    start, end = max(first, p - a - k), min(int(border[t + 1]) - 1, p - a + len(self.texts[n]) + k)
+                    own = spans.setdefault((t, n), [])
+                    if own and start <= own[-1][1]:
+                        own[-1][1] = max(own[-1][1], end)
+                    else:
+                        own.append([start, end])
+            for (t, n), own in spans.items():
+                k, best = self.budget[n], None
+                bits, runs = self.item(n)
+                for start, end in own:
+                    part = whole[start:end]
+                    if len(runs) > GRAM * k and lacks(runs, part, GRAM * k):
+                        continue
+                    if (got := myers(bits, len(self.texts[n]), part, k)) and (best is None or got[0] < best[0]):
+                        best = (got[0], start - int(border[t]) + got[1])
+                if best:
+                    out.append((lo + t, n, *best))
         return out
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, size: int = BLOCK_ITEMS):
-    """Lists of (id, text) of at most about `size` items, by a hash of both."""
+def _points(text: str) -> np.ndarray:
+    """The code points of a text; half a surrogate pair, as JSON may bring one, is a character like others."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def indexes(items: DataFrame, id_col: str, text_col: str, rate: float, size: int = BLOCK_ITEMS):
+    """The broadcast index of each block of about `size` items or BLOCK_CHARS characters, by a hash of id and text."""
     own = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    n = max(1, -(-own.count() // size))
+    n, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    n = max(1, -(-n // size), -(-chars // BLOCK_CHARS))
     for b in range(n):
-        yield [(r.i, r.t) for r in own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()]
+        index = Index([(r.i, r.t) for r in own.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()], rate)
+        yield items.sparkSession.sparkContext.broadcast(index)
 
 
 def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -146,12 +189,12 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
     c.ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in blocks(items, item_id, item_text, block_items):
+    for index in indexes(items, item_id, item_text, rate, block_items):
 
-        def run(batches, block=block):
-            matcher = Matcher(block, rate)
+        def run(batches, index=index):
             for b in batches:
-                rows = [(d, matcher.items[n][0], dist, end) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for n, dist, end in matcher.search(folded(t))]
+                docs, found = b.column(0).to_pylist(), index.value.search([folded(t) for t in b.column(1).to_pylist()])
+                rows = [(docs[t], index.value.ids[n], dist, end) for t, n, dist, end in found]
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "item_id", "distance", "end"])
 
@@ -164,12 +207,13 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, item_i
     """The rows of docs, all columns, that hold no item within its error budget."""
     c.ship(docs.sparkSession)
     at, schema = docs.columns.index("text"), docs.schema
-    for block in blocks(items, item_id, item_text, block_items):
+    for index in indexes(items, item_id, item_text, rate, block_items):
 
-        def run(batches, block=block):
-            matcher = Matcher(block, rate)
+        def run(batches, index=index):
             for b in batches:
-                yield b.filter(pa.array([not (t and matcher.search(folded(t))) for t in b.column(at).to_pylist()], pa.bool_()))
+                keep = np.ones(b.num_rows, bool)
+                keep[[t for t, *_ in index.value.search([folded(t) for t in b.column(at).to_pylist()])]] = False
+                yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, schema)
     return docs

@@ -5,7 +5,8 @@ are much more frequent in toxic texts. The terms form a trie. Its intersection w
 Levenshtein automata is determinised lazily: a state is a set of (trie node, errors
 left), and each step from a state by a character is computed once and kept in a table,
 so a word costs one table look-up per letter. A word may differ from a term by one
-insertion, deletion or substitution if the term has five letters or more.
+insertion, deletion or substitution, at any letter, if the term has five letters or more; digits
+and the signs * @ $ within a word belong to it, so that a masked letter is one substitution.
 
 Context. A window of words around each hit tells quotation (quote marks around it,
 reporting verbs near it, a negation before it) from abuse (second person, repetition,
@@ -13,8 +14,9 @@ other hits, exclamation). Sums of term weights, exact and misspelled, in either
 context, and the density of hits, enter a logistic score.
 
 Fitting takes at most SAMPLE labelled texts outside the held-out fold, chosen by a hash
-of the id: one half for the terms, the other for the logistic weights. Everything else
-runs over all rows and whole texts.
+of the id: one half for the terms, the other for the logistic weights. Every word and stem
+that passes LEAST and RATIO is a term, however many there are: their number is bounded by
+the sample alone. Everything else runs over all rows and whole texts.
 
 Edge cases: null and empty texts have no hits and get the score of a text without hits;
 labels that are null or not 0/1 are left out, of several labels of one document the
@@ -37,38 +39,42 @@ from pyspark.sql import functions as F
 from sieveloom.llm import common as c
 from sieveloom.llm.quality import held_out
 
-#: Labelled texts used for fitting, at most (about); terms kept, at most; words whose result a worker remembers.
-SAMPLE, TERMS, MEMORY = 20_000, 2_000, 300_000
+#: Labelled texts used for fitting, at most (about); words whose result a worker remembers at a time.
+SAMPLE, MEMORY = 20_000, 300_000
 #: Stems have so many letters; a term needs so many toxic documents and so many times the share among clean ones.
 STEM, LEAST, RATIO = (4, 8), 4, 12.0
 WINDOW = 6
 REPORTING = frozenset("said says called wrote quoted quote reported alleged term word phrase dit écrit sagte schrieb dijo escribió".split())
 NEGATION = frozenset("not never no nicht kein pas jamais nunca".split())
 SECOND = frozenset("you your u ur du dich dein ihr tu toi vous te ti tú eres usted".split())
-WORD = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"[^\W\d_]+|[\"“”„«»!]")
+_WORD = r"[^\W\d_](?:[^\W_]|[*@$](?=[^\W_]))*"
+WORD = re.compile(_WORD)
+TOKEN = re.compile(_WORD + r"|[\"“”„«»!]")
 
 
 class Automaton:
     """The trie of the terms, walked with up to one error."""
 
-    def __init__(self, terms: dict[str, tuple[float, bool]]):
-        """terms: {term: (weight, whether it is a stem)}"""
+    def __init__(self, terms: dict[str, float]):
+        """terms: {term: weight}; a stem ends in *, and a word may stand beside the stem of the same letters."""
         self.next: list[dict[str, int]] = [{}]
-        self.end: list[tuple[float, bool, int] | None] = [None]
-        for term, (weight, stem) in terms.items():
-            node = 0
-            for ch in term:
+        self.whole, self.stem, self.size = [0.0], [0.0], [0]
+        for term, weight in terms.items():
+            node, bare = 0, term.removesuffix("*")
+            for ch in bare:
                 if ch not in self.next[node]:
                     self.next[node][ch] = len(self.next)
                     self.next.append({})
-                    self.end.append(None)
+                    self.whole.append(0.0)
+                    self.stem.append(0.0)
+                    self.size.append(self.size[node] + 1)
                 node = self.next[node][ch]
-            self.end[node] = (weight, stem, len(term))
+            kind = self.whole if bare == term else self.stem
+            kind[node] = max(kind[node], weight)
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
-        self.stems: list[tuple[float, float]] = []
+        self.stems: list[float] = []
         self.start = self.state(self.closed({(0, 1)}))
         self.dead = self.state(frozenset())
 
@@ -76,7 +82,7 @@ class Automaton:
         """With the letters of a term that the word leaves out."""
         out = set(items)
         for node, left in items:
-            if left and node:
+            if left:
                 out.update((n, 0) for n in self.next[node].values())
         return frozenset(x for x in out if x[1] or (x[0], 1) not in out)
 
@@ -86,8 +92,7 @@ class Automaton:
             got = self.ids[items] = len(self.sets)
             self.sets.append(items)
             self.steps.append({})
-            exact = max((e[0] for n, left in items if left and (e := self.end[n]) and e[1]), default=0.0)
-            self.stems.append((exact, 0.0))
+            self.stems.append(max((self.stem[n] for n, left in items if left), default=0.0))
         return got
 
     def step(self, state: int, ch: str) -> int:
@@ -95,7 +100,7 @@ class Automaton:
         for node, left in self.sets[state]:
             if (n := self.next[node].get(ch)) is not None:
                 out.add((n, left))
-            if left and node:  # the first letter is taken as right
+            if left:
                 out.add((node, 0))
                 out.update((n, 0) for n in self.next[node].values())
         got = self.steps[state][ch] = self.state(self.closed(out)) if out else self.dead
@@ -108,22 +113,21 @@ class Automaton:
             state = n if (n := steps[state].get(ch)) is not None else self.step(state, ch)
             if state == self.dead:
                 return exact, 0.0
-            if (s := self.stems[state][0]) > exact:
+            if (s := self.stems[state]) > exact:
                 exact = s
         fuzzy = 0.0
         for node, left in self.sets[state]:
-            if e := self.end[node]:
-                if left:
-                    exact = max(exact, e[0])
-                elif not e[1] and e[2] >= 5:
-                    fuzzy = max(fuzzy, e[0])
+            if left:
+                exact = max(exact, self.whole[node])
+            elif self.size[node] >= 5:
+                fuzzy = max(fuzzy, self.whole[node])
         return exact, (0.0 if exact else fuzzy)
 
 
 class Scorer:
     """Features of texts; remembers the words it has looked up, up to MEMORY of them."""
 
-    def __init__(self, terms: dict[str, tuple[float, bool]]):
+    def __init__(self, terms: dict[str, float]):
         self.automaton, self.seen, self.hits = Automaton(terms), set(), {}
 
     def features(self, text: str) -> list[float]:
@@ -134,6 +138,7 @@ class Scorer:
         if new:
             if len(self.seen) > MEMORY:
                 self.seen.clear()
+                self.hits.clear()
                 new = kinds
             match, hits = self.automaton.match, self.hits
             for w in new:
@@ -167,23 +172,19 @@ class Scorer:
         return [math.log1p(abuse), math.log1p(quoted), math.log1p(fuzzy), best, math.log1p(100 * len(at) / max(1, n)), 1.0 if abuse else 0.0]
 
 
-def _terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, limit: int) -> dict[str, tuple[float, bool]]:
-    """The terms worth keeping: a stem stands for the words that begin with it; of nested stems
-    with the same support the longest stays."""
+def _terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """The weights of the terms, words and stems, that stand out; of nested stems with the same support, and of a stem
+    and the one word that has it, the longest stays."""
     weight = {}
     for t, (p, n) in counts.items():
         ratio = ((p + 0.1) / (toxic + 1)) / ((n + 0.1) / (clean + 1))
         if p >= LEAST and ratio >= RATIO:
             weight[t] = math.log(ratio) * (1 - 1 / math.sqrt(p))
-    out: dict[str, tuple[float, bool]] = {}
-    for t in sorted(weight, key=lambda t: (-weight[t] * math.log1p(counts[t][0]), t)):
-        stem = t.endswith("*")
-        bare = t.rstrip("*")
-        if bare not in out:
-            out[bare] = (weight[t], stem)
-        if len(out) >= limit:
-            break
-    return out
+    longer = {}  # stem -> the supports of the next longer stems and of words that begin with it
+    for t in weight:
+        for k in range(STEM[0], len(t.removesuffix("*")) + (0 if t.endswith("*") else 1)):
+            longer.setdefault(f"{t[:k]}*", set()).add(counts[t])
+    return {t: w for t, w in weight.items() if not (t.endswith("*") and counts[t] in longer.get(t, ()))}
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
@@ -216,7 +217,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> tuple[dict, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[dict, np.ndarray]:
     """The terms and the logistic weights."""
     rows = c.cut(labelled(docs, labels, label, sample))
     lo, hi = STEM
@@ -246,8 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     total = counts.where("t = ''").first()
     toxic, clean = (total.p, total.n) if total else (0, 0)
     ratio = (F.col("p") + 0.1) / (toxic + 1) / ((F.col("n") + 0.1) / (clean + 1))
-    best = counts.where("t != ''").where(ratio >= RATIO).orderBy((F.log(ratio) * F.log1p("p")).desc(), "t").limit(8 * terms)
-    lexicon = _terms({r.t: (r.p, r.n) for r in best.collect()}, toxic, clean, terms)
+    best = counts.where("t != ''").where(ratio >= RATIO)  # words of the toxic half of the sample: bounded by it
+    lexicon = _terms({r.t: (r.p, r.n) for r in best.collect()}, toxic, clean)
 
     def measure(batches):
         scorer = Scorer(lexicon)
@@ -260,10 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     return lexicon, _logistic(x, half.column("y").to_numpy().astype(float))
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE, terms: int = TERMS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     c.ship(docs.sparkSession)
-    lexicon, weights = fit(docs, labels, label, sample, terms)
+    lexicon, weights = fit(docs, labels, label, sample)
 
     def run(batches):
         scorer = Scorer(lexicon)

@@ -309,19 +309,33 @@ def test_held_out_labels_change_nothing(spark):
         assert all(abs(a[i] - b[i]) < 1e-9 for i in a)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.sampled_from(["stupid", "moron", "trashy"]), st.integers(1, 5), st.sampled_from(["x", ""]), st.booleans())
-def test_automaton_takes_one_error(term, at, ch, insert):
-    machine = toxicity.Automaton({"stupid": (2.0, False), "moron": (1.5, False), "trashy": (1.0, False), "veju": (3.0, True)})
-    at = min(at, len(term) - 1)
-    word = term[:at] + ch + term[at + (0 if insert and ch else 1) :]
-    exact, fuzzy = machine.match(word)
-    assert fuzzy > 0 and not exact
-    assert machine.match(term)[0] > 0 and machine.match("vejuais") == (3.0, 0.0) and machine.match("table") == (0.0, 0.0)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abc", min_size=1, max_size=7), min_size=1, max_size=6, unique=True), st.lists(st.text(alphabet="abc", min_size=4, max_size=6), max_size=2, unique=True), st.text(alphabet="abcd", min_size=1, max_size=8))
+def test_automaton_is_the_edit_distance(words, stems, word):
+    """One error is an insertion, a deletion or a substitution, anywhere, in a term of five letters or more."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    terms = {w: 1.0 + i for i, w in enumerate(words)} | {f"{w}*": 20.0 + i for i, w in enumerate(stems)}
+    exact = max([x for t, x in terms.items() if t == word or t.endswith("*") and word.startswith(t[:-1])], default=0.0)
+    fuzzy = max([x for t, x in terms.items() if not t.endswith("*") and len(t) >= 5 and distance(t, word) == 1], default=0.0)
+    assert toxicity.Automaton(terms).match(word) == (exact, 0.0 if exact else fuzzy)
+
+
+def test_masked_words_are_one_word():
+    assert toxicity.WORD.findall("st*pid id1ot, a*b* $x 7up it's") == ["st*pid", "id1ot", "a*b", "x", "up", "it", "s"]
+    got = toxicity._terms({"veju": (9, 0), "veju*": (9, 0), "vejuai*": (9, 0), "vejua*": (9, 0), "mor*": (9, 0), "moro*": (12, 0), "moron": (9, 0)}, 50, 500)
+    assert set(got) == {"veju", "vejuai*", "mor*", "moro*", "moron"}
 
 
 def test_quotation_scores_less_than_abuse():
-    s = toxicity.Scorer({"moron": (2.0, False)})
+    s = toxicity.Scorer({"moron": 2.0})
     abuse, quoted = s.features("you are such a moron and everyone knows"), s.features('the word "moron" was reported in the article')
     assert abuse[0] > 0 and abuse[1] == 0 and quoted[0] == 0 and quoted[1] > 0
 
@@ -479,3 +493,10 @@ def test_embeddings_against_brute_force(spark):
     assert got[905]["n_links"] == 1 and got[906]["component_id"] == 905
     for i in (900, 901, 902, 903, 904, 907, 908):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
+
+
+def test_many_items_are_one_scan(spark):
+    docs = h.frame(spark, h.corpus(10, seed=2))
+    items = spark.range(20_000).selectExpr("id as item_id", "concat('an item of the benchmark with number ', id) as text")
+    plan = decontam.matches(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan
