@@ -1,11 +1,15 @@
 """Embedding near-dedup by iterative quantisation.
 
-On a bounded sample (SAMPLE vectors, the smallest by a hash of the id) TABLES // 4
-rotations are learnt that bring the principal directions close to the corners of a cube
-(ITQ); the signs of the rotated unit vector are 64 bits each, cut into 16-bit keys. All
-vectors are indexed: TABLES hash tables over 16-bit pieces of the codes. Vectors that
-share a key in some table are candidates and are reranked by the cosine of the original
-vectors in double precision.
+On a bounded sample (SAMPLE vectors, the smallest by a hash of the id) rotations are learnt
+that bring the principal directions close to the corners of a cube (ITQ); the signs of the
+rotated unit vector are CODE bits for each, and the codes are cut into keys. All vectors are
+indexed, one hash table for each key. Vectors that share a key in some table are candidates
+and are reranked by the cosine of the original vectors in double precision.
+
+A key has about as many bits as the number of vectors has, so that a bucket holds few
+unrelated ones however many vectors there are; and there are as many tables as make a pair
+just at the threshold meet in one of them with probability 1 - MISS, were the bits
+independent. Every link found is exact.
 
 Equal vectors with equal labels are one class with a weight. A bucket is dealt into
 blocks of about BLOCK members and every two blocks meet in one unit of work, where a
@@ -13,18 +17,19 @@ matrix product finds the links; a pair counts only in the first table whose key
 shares, so links are counted, not listed, and each unit returns one row per linked
 member. Buckets of the same members in several tables are looked at in the first of
 them only. Vectors travel in their own precision and are brought to unit length in
-doubles. A pair at cosine 0.93 is missed with a probability of about 0.1, at 0.98 of
-about 0.001; every link found is exact.
+doubles, after division by their largest component, so that no square overflows.
 
 Edge cases: vectors that are null, of length 0, zero, or with null or non-finite
 components, and those without a label or id, link with nothing: n_links 0, component_id
 the own id. Vectors of different lengths are never compared. Repeated rows of one id are
-that many copies. With no valid vector the result is all singles. Extra columns are
-ignored.
+that many copies. With no valid vector the result is all singles, and an empty table gives
+an empty one. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +38,12 @@ from pyspark.sql import types as T
 
 from sieveloom.llm import common as c
 
-SAMPLE, TABLES, BITS, ROUNDS, BLOCK = 8_192, 16, 16, 30, 256
+SAMPLE, CODE, ROUNDS, BLOCK, MISS = 8_192, 64, 30, 256, 0.02
 
 
 def rotations(sample: np.ndarray, count: int, seed: int = 3) -> list[np.ndarray]:
     """`count` maps (dimensions x 64 bits) from unit vectors to codes whose signs are the bits."""
-    d, rng = sample.shape[1], np.random.default_rng(seed)
-    bits = 4 * BITS
-    out = []
+    d, rng, bits, out = sample.shape[1], np.random.default_rng(seed), CODE, []
     for _ in range(count):
         if len(sample) >= 2:
             values, axes = np.linalg.eigh(sample.T @ sample / len(sample))
@@ -58,10 +61,17 @@ def rotations(sample: np.ndarray, count: int, seed: int = 3) -> list[np.ndarray]
     return out
 
 
-def keys(unit: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
-    """The 16-bit pieces of the codes, one column per table."""
-    weight = 1 << np.arange(BITS)
-    return np.hstack([((unit @ m >= 0).reshape(len(unit), -1, BITS) * weight).sum(axis=2) for m in maps]).astype(np.uint16).view(np.int16)
+def tables(n: int, threshold: float) -> tuple[int, int]:
+    """(bits of a key, number of tables) for n vectors."""
+    bits = min(30, max(10, n.bit_length()))
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return bits, (max(1, math.ceil(math.log(MISS) / math.log1p(-same))) if same < 1 else 1)
+
+
+def keys(unit: np.ndarray, maps: list[np.ndarray], bits: int, count: int) -> np.ndarray:
+    """`count` keys of `bits` bits each from the codes, one column per table."""
+    signs = np.hstack([unit @ m >= 0 for m in maps])[:, : bits * count]
+    return (signs.reshape(len(unit), count, bits) * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
 
 
 def _unit(column, d: int) -> np.ndarray:
@@ -70,6 +80,7 @@ def _unit(column, d: int) -> np.ndarray:
 
 def _scaled(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -81,17 +92,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     kind = np.float32 if single else np.float64
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    valid = F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull(), finite & (square > 0) & (square < float("inf")))
+    some = F.exists("v", lambda x: x != 0)
+    valid = F.when(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull(), finite & some)
     rows = rows.withColumn("ok", F.coalesce(valid, F.lit(False)))
     rows = rows.withColumn("name", F.when(F.col("ok"), F.unhex(F.md5(F.concat_ws(" ", F.col("v").cast("array<string>"))))))
     classes = rows.where("ok").groupBy("label", "name").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = c.cut(classes.withColumn("d", F.size("v")))
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("d", "v").toArrow()
     lengths, held = np.asarray(sample.column("d")), sample.column("v").combine_chunks()
+    bits, count = tables(classes.count(), threshold)
+    maps = -(-bits * count // CODE)
     learnt = {}
     for d in np.unique(lengths).tolist():
-        learnt[d] = rotations(_unit(held.filter(pa.array(lengths == d)), d), TABLES // 4)
+        learnt[d] = rotations(_unit(held.filter(pa.array(lengths == d)), d), maps)
 
     def code(batches):
         for b in batches:
@@ -101,15 +114,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
                 own = held.filter(pick)
                 unit = _unit(own, d)
                 if d not in learnt:  # a length that the sample lacks: directions from its seed
-                    learnt[d] = rotations(np.empty((0, d)), TABLES // 4)
-                k = keys(unit, learnt[d])
+                    learnt[d] = rotations(np.empty((0, d)), maps)
+                k = keys(unit, learnt[d], bits, count)
                 yield pa.RecordBatch.from_arrays(
-                    [*[b.column(i).filter(pick) for i in range(4)], pa.array([x.tobytes() for x in np.asarray(own.flatten()).reshape(-1, d)], pa.binary()), pa.array(list(k), pa.list_(pa.int16()))],
+                    [*[b.column(i).filter(pick) for i in range(4)], pa.array([x.tobytes() for x in np.asarray(own.flatten()).reshape(-1, d)], pa.binary()), pa.array(list(k), pa.list_(pa.int32()))],
                     names=["id", "d", "weight", "label", "vector", "keys"],
                 )
 
     coded = classes.select("id", "d", "weight", "label", "v")
-    coded = c.cut(coded.mapInArrow(code, coded.drop("v").schema.add("vector", T.BinaryType()).add("keys", T.ArrayType(T.ShortType()))))
+    coded = c.cut(coded.mapInArrow(code, coded.drop("v").schema.add("vector", T.BinaryType()).add("keys", T.ArrayType(T.IntegerType()))))
     spread = coded.select("id", "label", "d", F.posexplode("keys").alias("t", "key"))
     name = ["label", "d", "t", "key"]
     who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.sum(F.shiftright(F.xxhash64("id", F.lit(7)), 32)).alias("sum")]
@@ -121,7 +134,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     units = members.select("id", *name, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     units = units.join(coded.select("id", "label", "weight", "vector", "keys"), ["id", "label"])
     order = ["label", "d", "t", "key", "lo", "hi"]
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = c.partitions(coded, 4)
     units = units.withColumn("label", F.col("label").cast("string")).select("id", "own", "weight", "vector", "keys", *order)
     units = units.repartition(partitions, *order).sortWithinPartitions(*order)
 
@@ -165,6 +178,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     groups = c.components(found.select("id", "root")).withColumnRenamed("node", "id")
     result = classes.select("label", "name", "id", "weight").join(counts, "id", "left").join(groups, "id", "left")
     result = result.select(F.col("label").alias("l"), F.col("name").alias("m"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
-    out = rows.select("id", "label", "name").join(result, F.col("label").eqNullSafe(F.col("l")) & (F.col("name") == F.col("m")), "left")
-    component = F.coalesce("c", "id")
-    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    # rows that link with nothing are not joined: without a name they would all meet in one task
+    out = rows.where("ok").select("id", "label", "name").join(result, (F.col("label") == F.col("l")) & (F.col("name") == F.col("m"))).select("id", "n_links", "c")
+    out = out.unionByName(rows.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("c")))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(False)).alias("kept"))

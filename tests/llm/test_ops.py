@@ -500,3 +500,33 @@ def test_many_items_are_one_scan(spark):
     items = spark.range(20_000).selectExpr("id as item_id", "concat('an item of the benchmark with number ', id) as text")
     plan = decontam.matches(docs, items)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Union" not in plan
+
+
+def test_embedding_recall_near_the_threshold(spark):
+    """Pairs at cosine 0.93 to 0.95 only, the hardest to find: at least nine in ten are."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.931, 0.95, size=(1500, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * side
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.vstack([a, b]))]
+    got = {r["vec_id"]: r["n_links"] for r in rows_of(embdup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")))}
+    assert set(got.values()) <= {0, 1} and sum(got.values()) >= 0.9 * 3000
+
+
+def test_embeddings_of_any_size_and_clashing_columns(spark):
+    big, small = [1e200] * 4, [1e-200] * 4
+    rows = [(1, big, 1, "x", "y", 1), (2, [2e200] * 4, 1, "x", "y", 1), (3, small, 1, "x", "y", 1), (4, [1e200, -1e200, 1e200, -1e200], 1, "x", "y", 1), (5, big, 2, "x", "y", 1)]
+    names = "vec_id long, embedding array<double>, label int, id string, component string, n int"
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows_of(embdup.near_duplicates(spark.createDataFrame(rows, names)))}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+
+
+def test_more_vectors_have_longer_keys_and_more_tables():
+    shapes = [embdup.tables(n, 0.93) for n in (10, 10**4, 10**6, 10**9)]
+    assert shapes == sorted(shapes) and shapes[0][0] == 10 and shapes[-1][0] == 30
+    for (bits, count), t in [(embdup.tables(10**5, t), t) for t in (0.8, 0.93, 0.99)]:
+        assert (1 - (1 - np.arccos(t) / np.pi) ** bits) ** count <= embdup.MISS
