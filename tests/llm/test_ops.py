@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -360,6 +361,37 @@ def test_license_places(spark):
             assert ("cc-by-nc-4.0" if r["doc_id"] == 4 else "mit-text") in r["labels"].split(",")
 
 
+def test_license_labels_match_brute_force(spark):
+    """Notices whole, cut, with words put in, and rare words out of place; labels and scores from plain loops."""
+    rng = random.Random(6)
+    filler = ["some", "other", "words", "the", "of", "software", "license", "copy", "notice"]
+    texts = []
+    for text, _ in licenses.TEMPLATES.values():
+        w = text.split()
+        half = len(w) // 2
+        for t in (w, w[half:], w[:half] + ["Example"] + w[half:], rng.sample(w, len(w))):
+            texts.append(" ".join([*rng.choices(filler, k=rng.randint(0, 9)), *t, *rng.choices(filler, k=5)]))
+    texts += ["cc by cc by", "gnu general public license mit license", "apache", "gnu"]
+    rows = [(i, t, "en", "s", 1, 0.0, "", "", "") for i, t in enumerate(texts)]
+    own = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", h.lower(t)) for t in texts]
+    phrases = {k: licenses.words_of(t) for k, (t, _) in licenses.TEMPLATES.items()}
+    df = Counter(w for x in own for w in set(x))
+    want = {}
+    for i, w in enumerate(own):
+        labels, best = {x for p, x in licenses.BASE.items() if f" {p} " in f" {' '.join(w)} "}, 0.0
+        best = 0.5 if labels else 0.0
+        for k, t in phrases.items():
+            rare = sorted(set(t), key=lambda x: (df[x], x))[: licenses.RARE]
+            posted = [(x, j) for j, x in enumerate(t) if x in rare]
+            most = max((sum(0 <= j + s < len(w) and w[j + s] == x for x, j in posted) for s in range(-len(t), len(w))), default=0)
+            if most >= min(licenses.NEED, len(posted)) and all(f" {m} " in f" {' '.join(w)} " for m in licenses.TEMPLATES[k][1]):
+                labels.add(k)
+                best = max(best, min(1.0, most / len(posted)))
+        want[i] = (",".join(sorted(labels)), round(best, 9))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in rows_of(licenses.scan(h.frame(spark, rows)))}
+    assert got == want and len({x for x, _ in want.values()}) > 15
+
+
 # ---- 7 and 8
 
 
