@@ -3,12 +3,11 @@
 A test item of m characters (case folded, white space squeezed) has an error budget of
 k = floor(RATE * m). It is split into k + 1 pieces: a text within k edits of the item
 holds at least one piece unchanged, where it stands give or take k. The pieces are an index
-of hashes of their first WIDTH characters, in arrays; the runs of WIDTH characters of every
-whole text are hashed at one go and looked up in it, and the pieces found are compared in
-full. A stretch around a hit that lacks more than GRAM * k of the item's distinct GRAM-letter
-runs is more than k edits away, as an edit breaks at most GRAM of them; around the other hits
-Myers' bit-parallel algorithm gives the least edit distance of the item to any stretch of
-the text.
+of their first WIDTH bytes, in arrays; the runs of WIDTH bytes of every whole text are
+looked up in it at one go, and the pieces found are compared in full. A stretch around a hit that lacks more than k of the item's runs of GRAM letters, one after
+the other, is more than k edits away, as an edit breaks at most one of them; around the other
+hits Myers' bit-parallel algorithm gives the least edit distance of the item to any stretch
+of the text.
 
 The items are the query set. They go to the executors as one index, so the corpus is scanned
 once, up to BLOCK_ITEMS items or BLOCK_CHARS characters; more are taken in blocks by a hash of
@@ -19,7 +18,7 @@ Edge cases: null and empty items match nothing; items under 1 / RATE characters
 match exactly; equal items are all reported; null and empty texts hold nothing;
 documents without an id appear with a null doc_id; repeated rows are reported each; extra
 columns are ignored by matches() and kept by decontaminated(). Empty tables of either kind
-match nothing. Hashing takes SLICE characters at a time, however long a text is.
+match nothing. Looking up takes SLICE bytes at a time, however long a text is.
 """
 
 from __future__ import annotations
@@ -33,6 +32,7 @@ from sieveloom.llm import common as c
 
 RATE, GRAM, WIDTH = 0.1, 5, 8
 BLOCK_ITEMS, BLOCK_CHARS, SLICE = 200_000, 40_000_000, 1 << 18
+_SCATTER, _ALL = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 
 
 def folded(text: str | None) -> str:
@@ -45,11 +45,12 @@ def pieces(m: int, k: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def grams(text: str) -> set[str]:
-    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+def grams(text: str) -> list[str]:
+    """The runs of GRAM letters of a text, one after the other."""
+    return [text[i : i + GRAM] for i in range(0, len(text) - GRAM + 1, GRAM)]
 
 
-def lacks(runs: set[str], text: str, most: int) -> bool:
+def lacks(runs: list[str], text: str, most: int) -> bool:
     """Whether more than `most` of the runs are not in the text."""
     for g in runs:
         if g not in text:
@@ -85,43 +86,49 @@ def myers(pattern_bits: dict[str, int], m: int, text: str, k: int) -> tuple[int,
 
 
 class Index:
-    """The pieces of the items of one block, by a hash of their first WIDTH characters (or all, of shorter ones)."""
+    """The pieces of the items of one block, by their first WIDTH bytes (or all, of shorter ones) as one number."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.ids, self.texts, self.known = [], [], {}
         rows: dict[int, list[tuple[int, int, int]]] = {}
+        keys: dict[int, list[int]] = {}
         self.budget = []
         for item_id, raw in items:
             if text := folded(raw):
                 k = int(rate * len(text))
                 for x, y in pieces(len(text), k):
-                    rows.setdefault(min(WIDTH, y - x), []).append((len(self.ids), x, y - x))
+                    head = _bytes(text[x:y])[:WIDTH]
+                    rows.setdefault(len(head), []).append((len(self.ids), x, y - x))
+                    keys.setdefault(len(head), []).append(int.from_bytes(head, "little"))
                 self.ids.append(item_id)
                 self.texts.append(text)
                 self.budget.append(k)
         self.parts = {}
         for width, own in rows.items():
-            heads = "".join(self.texts[n][x : x + width] for n, x, _ in own)
-            h = c.window_hashes(_points(heads), width)[::width]
-            order = np.argsort(h, kind="stable")
-            bits = max(16, (8 * len(h)).bit_length())
+            key = np.array(keys[width], np.uint64)
+            order = np.argsort(key, kind="stable")
+            bits = max(16, (8 * len(key)).bit_length())
             there = np.zeros(1 << bits, bool)
-            there[h >> np.uint64(64 - bits)] = True
-            self.parts[width] = (h[order], np.array(own, np.int32)[order], there, np.uint64(64 - bits))
-
-    def hits(self, points: np.ndarray):
-        """(place, item number, the piece's place in the item, its size) of the index's runs in an array of code points."""
-        for width, (known, rows, there, shift) in self.parts.items():
-            for first in range(0, max(0, len(points) - width + 1), SLICE):
-                h = c.window_hashes(points[first : first + SLICE + width - 1], width)
-                at = np.flatnonzero(there[h >> shift])
-                lo, hi = (np.searchsorted(known, h[at], side) for side in ("left", "right"))
+            there[(key * _SCATTER) >> np.uint64(64 - bits)] = True
+            self.parts[width] = (key[order], np.array(own, np.int32)[order], there, np.uint64(64 - bits), np.uint64((1 << 8 * width) - 1))
+
+    def hits(self, text: bytes):
+        """(place in bytes, item number, the piece's place in the item, its size) of the index's runs in a text."""
+        for first in range(0, len(text), SLICE):
+            a = np.frombuffer(text[first : first + SLICE + WIDTH] + bytes(WIDTH), np.uint8)
+            two = a[:-1] | a[1:].astype(np.uint16) << np.uint16(8)
+            four = two[:-2] | two[2:].astype(np.uint32) << np.uint32(16)
+            eight = (four[:-4] | four[4:].astype(np.uint64) << np.uint64(32))[: min(SLICE, len(text) - first)]
+            for known, rows, there, shift, mask in self.parts.values():
+                key = eight & mask if mask != _ALL else eight
+                at = np.flatnonzero(there[(key * _SCATTER) >> shift])
+                lo, hi = (np.searchsorted(known, key[at], side) for side in ("left", "right"))
                 some = np.flatnonzero(hi > lo)
                 if len(some):
                     n = (hi - lo)[some]
                     yield np.repeat(at[some] + first, n), *rows[c.spread(lo[some], n)].T
 
-    def item(self, n: int) -> tuple[dict[str, int], set[str]]:
+    def item(self, n: int) -> tuple[dict[str, int], list[str]]:
         """(places of each character as bits, letter runs) of an item that has hits."""
         if n not in self.known:
             if len(self.known) > 4_000:
@@ -138,10 +145,13 @@ class Index:
         for lo, hi in c.slices(texts, SLICE):
             whole = "\n".join(texts[lo:hi])  # folded texts hold no line break, so no piece crosses one
             border = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
-            found = list(self.hits(_points(whole)))
+            raw = _bytes(whole)
+            found = list(self.hits(raw))
             if not found:
                 continue
             place, number, at, size = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(raw) > len(whole):  # from bytes to characters
+                place = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int64)[place] - 1
             text = np.searchsorted(border, place, "right") - 1
             order = np.lexsort((place - at, number, text))
             spans: dict[tuple[int, int], list[list[int]]] = {}
@@ -159,7 +169,7 @@ class Index:
                 bits, runs = self.item(n)
                 for start, end in own:
                     part = whole[start:end]
-                    if len(runs) > GRAM * k and lacks(runs, part, GRAM * k):
+                    if lacks(runs, part, k):
                         continue
                     if (got := myers(bits, len(self.texts[n]), part, k)) and (best is None or got[0] < best[0]):
                         best = (got[0], start - int(border[t]) + got[1])
@@ -168,9 +178,9 @@ class Index:
         return out
 
 
-def _points(text: str) -> np.ndarray:
-    """The code points of a text; half a surrogate pair, as JSON may bring one, is a character like others."""
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _bytes(text: str) -> bytes:
+    """UTF-8; half a surrogate pair, as JSON may bring one, is a character like others."""
+    return text.encode("utf-8", "surrogatepass")
 
 
 def indexes(items: DataFrame, id_col: str, text_col: str, rate: float, size: int = BLOCK_ITEMS):
