@@ -86,6 +86,14 @@ def partitions(df: DataFrame, times: float = 1.0) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(min(size, 1 << 60) * times) // PARTITION_BYTES)
 
 
+def dealt(df: DataFrame, like: DataFrame, *keys: str, times: float = 1.0) -> DataFrame:
+    """df dealt by keys, with all rows of a key in one partition: as many partitions as `like` calls for where that is more
+    than the session's number; else the session's number, of which adaptive execution puts small ones together, so that
+    a small table is a few files."""
+    n = partitions(like, times)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def release(spark: SparkSession) -> None:
     """Drop the shuffle files of finished steps now: Spark does so once their plans are collected, which the driver
     otherwise does when its own memory runs short, however full the executors' disks are."""

@@ -134,9 +134,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     units = members.select("id", *name, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     units = units.join(coded.select("id", "label", "weight", "vector", "keys"), ["id", "label"])
     order = ["label", "d", "t", "key", "lo", "hi"]
-    partitions = c.partitions(coded, 4)
     units = units.withColumn("label", F.col("label").cast("string")).select("id", "own", "weight", "vector", "keys", *order)
-    units = units.repartition(partitions, *order).sortWithinPartitions(*order)
+    units = c.dealt(units, coded, *order, times=4).sortWithinPartitions(*order)
 
     def meet(batches):
         name, held = None, []

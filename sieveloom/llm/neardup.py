@@ -191,7 +191,7 @@ def _stars(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int)
     units = best.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("m"))
     rows = best.join(units, "centre").select("centre", F.pmod(F.xxhash64("id", F.lit(9)), F.col("m")).cast("int").alias("unit"), F.lit(1).alias("kind"), "id")
     rows = rows.unionByName(units.select("centre", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("unit"), F.lit(0).alias("kind"), F.col("centre").alias("id")))
-    rows = rows.join(sets, "id").repartition(c.partitions(sets), "centre", "unit").sortWithinPartitions("centre", "unit", "kind")
+    rows = c.dealt(rows.join(sets, "id"), sets, "centre", "unit").sortWithinPartitions("centre", "unit", "kind")
 
     def confirm(batches):
         own = np.empty(0, np.uint64)
@@ -237,8 +237,7 @@ def _rest(members: DataFrame, known: DataFrame, sets: DataFrame, groups: DataFra
     kind = F.when(F.col("x") == 0, 0).when(F.col("x") < F.col("g"), 1).otherwise(2)
     units = own.withColumn("at", F.explode(at)).select("id", "component", "band", F.when(F.col("inside"), -1).otherwise(F.col("own")).alias("own"), "bucket", "at.x", "at.y", "g").withColumn("kind", kind).drop("g")
     units = units.select("id", "component", "own", "band", "kind", *UNIT)
-    count = c.partitions(sets)
-    sketch = units.join(known, "id").select(*units.columns, "n", "regs").repartition(count, *UNIT).sortWithinPartitions(*UNIT)
+    sketch = c.dealt(units.join(known, "id").select(*units.columns, "n", "regs"), sets, *UNIT).sortWithinPartitions(*UNIT)
 
     def candidates(held, i, regs, size, own, part):
         """Which of the members before i may be linked with it, are in another component, and meet it here first; and how they agree."""
@@ -285,7 +284,7 @@ def _rest(members: DataFrame, known: DataFrame, sets: DataFrame, groups: DataFra
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
     left = c.cut(sketch.mapInArrow(look, "id long, component long, own int, band int, kind int, bucket long, x int, y int"))
     c.release(members.sparkSession)
-    full = left.join(known, "id").join(sets, "id").select(*units.columns, "n", "regs", "shingles").repartition(count, *UNIT).sortWithinPartitions(*UNIT)
+    full = c.dealt(left.join(known, "id").join(sets, "id").select(*units.columns, "n", "regs", "shingles"), sets, *UNIT).sortWithinPartitions(*UNIT)
 
     def confirm(batches):
         for held in grouped(batches):
