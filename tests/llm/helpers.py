@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 from pyspark.sql import types as T
@@ -70,8 +71,8 @@ def near_groups(rows, k, percent=80):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def window_cut(rows):
-    """{doc_id: (words, removed, sha256 of the rest)}."""
+def window_kept(rows):
+    """{doc_id: (words that stay, words removed)}."""
     texts = {i: (t or "").encode().split() for i, t, *_ in rows if i is not None}
     seen, out = set(), {}
     for i in sorted(texts):
@@ -81,11 +82,20 @@ def window_cut(rows):
             if h in seen:
                 gone[j : j + 20] = [True] * 20
             seen.add(h)
-        rest = [x for x, g in zip(w, gone, strict=True) if not g]
-        out[i] = (len(w), len(w) - len(rest), hashlib.sha256(b" ".join(rest)).hexdigest())
+        out[i] = ([x for x, g in zip(w, gone, strict=True) if not g], sum(gone))
     return out
 
 
+def window_cut(rows):
+    """{doc_id: (words, removed, sha256 of the rest)}."""
+    return {i: (len(rest) + gone, gone, hashlib.sha256(b" ".join(rest)).hexdigest()) for i, (rest, gone) in window_kept(rows).items()}
+
+
+def fold(i):
+    """Whether the labels of an id may be learnt."""
+    return zlib.crc32(str(i).encode()) % 5 != 0
+
+
 def edit_distance_within(pattern, text):
     """The least edit distance of pattern to any stretch of text."""
     row = [0] * (len(text) + 1)
