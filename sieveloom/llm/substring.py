@@ -10,9 +10,10 @@ match is extended: each window of 20 words that holds a repeated anchor is hashe
 earlier is covered; covered words are removed.
 
 Shuffles: one of anchors (4/13 of the words), two of the texts by id, one of the windows
-around repeated anchors; each is written out and its shuffle files dropped before the next. Texts equal to an earlier one are settled without windows.
-What a task has several times of an anchor or a window leaves it as one row, so a passage in
-a third of all documents is a key of one row for each task; no pairs are formed.
+around repeated anchors; each is written out and its shuffle files dropped before the next.
+Texts equal to an earlier one are settled without windows. What a task has several times of
+an anchor or a window among HELD of them in a row leaves it as one row, so a passage in a
+third of all documents is a key of some rows for each task; no pairs are formed.
 
 Edge cases: null and empty texts have no words; texts under 20 words lose nothing; rows
 without an id lose nothing and cover nothing; repeated rows (same id and text) count as
@@ -33,6 +34,8 @@ from sieveloom.llm import common as c
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
+#: Anchors or windows in which a task looks for repeats at one go: some 100 MB with what sorting them takes.
+HELD = 2_000_000
 _COVER = np.zeros(PERIOD, bool)
 _COVER[list(COVER)] = True
 
@@ -71,9 +74,9 @@ def anchors(texts: DataFrame) -> DataFrame:
     repeated, and go as one row per document (place null) whose hash only spreads them."""
 
     def run(batches):
+        h, i, p = [], [], []
         for b in batches:
             ids, texts = b.column(0).to_numpy(zero_copy_only=False), c.as_bytes(b.column(1))
-            h, i, p = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, words, at in c.hashed_docs(texts):
                 wins = c.window_hashes(words, ANCHOR)
                 for j in range(len(at) - 1):
@@ -83,6 +86,13 @@ def anchors(texts: DataFrame) -> DataFrame:
                         h.append(wins[at[j] + place])
                         p.append(place)
                         i.append(np.full(len(place), ids[lo + j], np.int64))
+                if sum(map(len, h)) >= HELD:
+                    yield from out(h, i, p)
+                    h, i, p = [], [], []
+        yield from out(h, i, p)
+
+    def out(h, i, p):
+        if h:
             h, i, p = np.concatenate(h), np.concatenate(i), np.concatenate(p)
             first, n, rest = _firsts(i, p, h)
             first, n = first[k := np.lexsort((p[first], i[first]))], n[k]  # by document, which packs better
@@ -109,9 +119,9 @@ def windows(texts: DataFrame) -> DataFrame:
     known places with the h2 -1 that no window has."""
 
     def run(batches):
+        x, y, i, p = [], [], [], []
         for b in batches:
             ids, texts, places = b.column(0).to_numpy(zero_copy_only=False), c.as_bytes(b.column(1)), b.column(2)
-            x, y, i, p = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for lo, words, at in c.hashed_docs(texts):
                 one, two = c.window_hashes(words, WINDOW), c.window_hashes(c.mix(words ^ np.uint64(0x5851F42D4C957F2D)), WINDOW)
                 for j in range(len(at) - 1):
@@ -127,6 +137,13 @@ def windows(texts: DataFrame) -> DataFrame:
                     y.append((two[at[j] + start] >> np.uint64(33)).astype(np.int32))
                     p.append(start)
                     i.append(np.full(len(start), ids[lo + j], np.int64))
+                if sum(map(len, x)) >= HELD:
+                    yield from out(x, y, i, p)
+                    x, y, i, p = [], [], [], []
+        yield from out(x, y, i, p)
+
+    def out(x, y, i, p):
+        if x:
             x, y, i, p = np.concatenate(x), np.concatenate(y), np.concatenate(i), np.concatenate(p)
             first, _, rest = _firsts(i, p, x, y)
             first = first[np.lexsort((p[first], i[first]))]
