@@ -225,6 +225,7 @@ def _rest(members: DataFrame, known: DataFrame, sets: DataFrame, groups: DataFra
     parts = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.max(F.struct("size", "n", "component")).alias("big")).where("parts > 1")
     deal = lambda size, n: F.greatest(F.ceil(size / F.lit(float(BLOCK))), F.ceil(n * 8 / F.lit(float(BLOCK_BYTES)))).cast("int")
     parts = parts.select("bucket", F.col("big.component").alias("big"), deal(F.col("big.size"), F.col("big.n")).alias("g"), deal(F.col("size") - F.col("big.size"), F.col("n") - F.col("big.n")).alias("s"))
+    parts = c.cut(parts)  # a very large bucket is then a skewed key of a plain join, which adaptive execution splits
     own = own.join(parts, "bucket").withColumn("inside", F.col("component") == F.col("big"))
     own = own.withColumn("own", F.pmod(F.xxhash64("id", F.lit(9)), F.when(F.col("inside"), F.col("g")).otherwise(F.col("s"))).cast("int"))
     # unit (x, y): block x of the largest component with block y of the others, or block x - g of the others with block y < x - g

@@ -162,7 +162,8 @@ def covered(texts: DataFrame) -> DataFrame:
     """(id, places): the starts of the windows of each document that also start earlier. places is null for a
     document of 20 words or more that equals an earlier one: all its windows do. texts: (id, text), ids not null."""
     texts = texts.withColumn("same", F.md5("text"))
-    first = texts.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("same", "first")
+    # written out, so that a text in very many rows is a skewed key of a plain join, which adaptive execution splits
+    first = c.cut(texts.groupBy("same").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("same", "first"))
     copies = c.cut(texts.select("id", "same").join(first, "same").where("id != first").select("id").distinct())
     c.release(texts.sparkSession)
     found = c.cut(_gathered(anchors(texts.select("id", "text")).withColumn("n", F.sum("n").over(Window.partitionBy("hash"))).where("n > 1")).join(copies, "id", "left_anti"))

@@ -90,9 +90,11 @@ def derived(records: DataFrame) -> DataFrame:
 
 
 def formatted(records: DataFrame) -> DataFrame:
-    """(page_id, record_type, warc): each derived record as WARC/1.1 text."""
-    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "n_bytes")]
-    head = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{k}: "), F.col(c).cast("string"), F.lit("\r\n")) for k, c in lines])
+    """(page_id, record_type, warc): each derived record as WARC/1.1 text; the source's headers are one field, its lines
+    joined by semicolons."""
+    lines = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("WARC-Source-Payload-Digest", "source_digest"), ("WARC-Source-Headers", "source_headers"), ("Content-Type", "content_type"), ("Content-Length", "n_bytes")]
+    one = lambda c: F.regexp_replace(F.col(c).cast("string"), r"[\r\n]+", "; ")  # noqa: E731 - a field is one line
+    head = F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{k}: "), one(c), F.lit("\r\n")) for k, c in lines])
     return records.select("page_id", "record_type", F.concat(head, F.lit("\r\n"), F.col("content"), F.lit("\r\n\r\n")).alias("warc"))
 
 
