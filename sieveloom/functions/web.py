@@ -141,6 +141,20 @@ def hidden_inputs(html: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(pairs, lambda p: p["k"] == n), -1)["v"]))
 
 
+def page_count(html: Column) -> Column:
+    """How many pages a list has, by its line "Pagina n di m"; 1 without one."""
+    found = F.regexp_extract(F.regexp_replace(html, r"<[^>]+>", " "), r"Pagina\s+\d+\s+di\s+(\d+)", 1)
+    return F.when(found != "", found.cast("int")).otherwise(1)
+
+
+def named_inputs(html: Column, pattern: str) -> Column:
+    """(name, value) of the inputs that have both and whose name has the pattern, in order, entities undone."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)(<input[^>]*>)"), F.lit(1))
+    tags = F.filter(tags, lambda t: t.rlike('name="[^"]+"') & t.rlike('value="[^"]*"'))
+    pairs = F.transform(tags, lambda t: F.struct(F.regexp_extract(t, 'name="([^"]+)"', 1).alias("name"), F.btrim(unescaped(F.regexp_extract(t, 'value="([^"]*)"', 1))).alias("value")))
+    return F.filter(pairs, lambda p: p["name"].rlike(pattern))
+
+
 def capture_rows(body: Column) -> Column:
     """A web-archive index (a JSON array of arrays, the first the header) as an array of maps."""
     rows = F.from_json(body, "array<array<string>>")

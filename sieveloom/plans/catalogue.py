@@ -996,6 +996,80 @@ def _(spark, sf):
     return incremental.sliding(e, "ts", 182).groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
+@query("extended_totals", "with d as (select doc_id, source, date '2026-01-01' + cast(doc_id % 240 as integer) as day from documents) select source as domain, count(*) as n from d where doc_id % 8 = 0 or (doc_id % 4 = 0 and day between date '2026-02-01' and date '2026-05-31') group by source")
+def _(spark, sf):
+    from sieveloom.streaming import incremental
+
+    d = _docs(spark, sf).select("url", "domain", "seendate", "ord")
+    return incremental.extended(d.where("ord % 8 = 0"), d.where("ord % 4 = 0"), "2026-02-01", "2026-05-31")[1]
+
+
+# ---- indexes and sitemaps, made of the test tables
+
+
+def _sitemaps(spark, sf):
+    """One sitemap for each of 7 groups of pages; some entries without a date, one nested sitemap each."""
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int")), "yyyy-MM-dd")
+    entry = F.concat(F.lit("<url>\n <loc> "), "url", F.lit(" </loc>"), F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("<lastmod>"), day, F.lit("T00:00:00Z</lastmod>"))).otherwise(""), F.lit("</url>"))
+    p = _table(spark, sf, "pages").where("url is not null").select((F.col("page_id") % 7).alias("g"), entry.alias("e"))
+    return p.groupBy("g").agg(F.collect_list("e").alias("e")).select(F.concat(F.lit("<urlset>"), F.array_join("e", ""), F.lit("<sitemap><loc>nested-"), F.col("g").cast("string"), F.lit(".xml</loc></sitemap></urlset>")).alias("body"))
+
+
+_DAY = "strftime(date '2024-01-01' + cast(page_id % 300 as integer), '%Y-%m-%d')"
+
+
+@query("sitemap_pages", f"select 'page' as kind, url as loc, case when page_id % 3 != 0 then {_DAY} || 'T00:00:00Z' end as lastmod from pages where url is not null union all select distinct 'sitemap', 'nested-' || (page_id % 7) || '.xml', null from pages where url is not null")
+def _(spark, sf):
+    from sieveloom.sources import files
+
+    return files.sitemap(spark, _sitemaps(spark, sf))
+
+
+@query("sitemap_profile", f"select count(*) as pages, min(d) as first, max(d) as last, count(distinct d) as days from (select case when page_id % 3 != 0 then {_DAY} end as d from pages where url is not null)")
+def _(spark, sf):
+    from sieveloom.sources import files
+
+    return files.sitemap_profile(files.sitemap(spark, _sitemaps(spark, sf)).where("kind = 'page'"))
+
+
+@query("robots_sitemaps", "select page_id, url as t from pages where url is not null and page_id % 2 = 0")
+def _(spark, sf):
+    from sieveloom.sources import files
+
+    body = F.concat(F.lit("User-agent: *\nDisallow: /x\n"), F.when(F.col("page_id") % 2 == 0, "  SiteMap: ").otherwise("# no map "), "url", F.lit("\n"))
+    return _table(spark, sf, "pages").select("page_id", F.explode(files.robots_sitemaps(body)).alias("t"))
+
+
+@query("deposited_json", "select cast(page_id as varchar) as number, 'list ' || (page_id % 9) as list, 'f' || page_id || '.PDF' as file from pages union all select cast(min(page_id) as varchar), 'list ' || (min(page_id) % 9), 'shared.pdf' from pages")
+def _(spark, sf):
+    from sieveloom.sources import files
+
+    i = F.col("page_id")
+    doc = lambda kind, name: F.struct(F.lit(kind).alias("tp_doc"), name.alias("f_doc"))
+    name = lambda tail: F.concat(F.lit("f"), i.cast("string"), F.lit(tail))
+    shared = F.when(i == F.lit(_table(spark, sf, "pages").agg(F.min("page_id")).first()[0]), F.lit("shared.pdf")).otherwise(name(".doc"))
+    entry = F.struct(i.cast("string").alias("n_ord"), F.concat(F.lit("list "), (i % 9).cast("string")).alias("partito"), F.array(doc("1", name("-statute.pdf")), doc("2", name(".PDF")), doc("2", name(".txt")), doc("2", shared), doc("2", shared)).alias("e_file"))
+    return files.index_json(_table(spark, sf, "pages").select(F.to_json(F.struct(F.array(entry).alias("contrass"))).alias("body")))
+
+
+@query("deposited_html", "select cast(page_id as varchar) as number, 'Lista & ' || page_id as list, '/doc/' || page_id || '.pdf' as file from pages")
+def _(spark, sf):
+    from sieveloom.sources import files
+
+    i = F.col("page_id").cast("string")
+    row = F.concat(F.lit("<tr class='r'><td> "), i, F.lit(" </td><td><b>Lista &amp; "), i, F.lit("</b></td><td><a href=\"/doc/s"), i, F.lit(".pdf\">Statuto</a> <a class=x href=\"/doc/"), i, F.lit(".pdf\"> Programma </a></td></tr>"))
+    return files.index_html(_table(spark, sf, "pages").select(F.concat(F.lit("<table><tr><th>n</th></tr>"), row, row, F.lit("</table>")).alias("body")))
+
+
+@query("form_scan", "select page_id, 1 + page_id % 12 as pages, 'ctl$row' || page_id as name, 'Apri & leggi' as value from pages where page_id % 5 != 0 union all select page_id, 1, 'ctl$row' || page_id, 'Apri & leggi' from pages where page_id % 5 = 0")
+def _(spark, sf):
+    i = F.col("page_id")
+    pager = F.when(i % 5 == 0, "").otherwise(F.concat(F.lit("<span>Pagina <b>1</b> di <b>"), (1 + i % 12).cast("string"), F.lit("</b></span>")))
+    body = F.concat(pager, F.lit("<input type=\"submit\" name=\"ctl$row"), i.cast("string"), F.lit("\" value=\" Apri &amp; leggi\"><INPUT type=\"hidden\" name=\"state\" value=\"x\"><input name=\"ctl$row0\">"))
+    rows = _table(spark, sf, "pages").select("page_id", web.page_count(body).alias("pages"), F.explode(web.named_inputs(body, r"^ctl\$row")).alias("x"))
+    return rows.select("page_id", "pages", "x.name", "x.value")
+
+
 # ---- scalar functions
 
 

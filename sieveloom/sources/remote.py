@@ -11,22 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sieveloom.functions.text import language
+from sieveloom.schema import keep_first
 
-def fetched(get: Callable[[str], tuple[int, str]], url: str, tries: int = 3, wait: float = 0.0) -> str | None:
-    """The body of a URL; waits longer before each new try; None after the last, and at once for 403 and 404."""
-    for n in range(tries):
+
+def answered(get: Callable[[str], tuple[int, str]], url: str, tries: int = 3, wait: float = 0.0, busy: float = 0.0, refusals: bool = False) -> tuple[int, str] | None:
+    """(status, body) of a URL, or None. Waits longer before each new try, `busy` seconds more each time where the server
+    asks for fewer requests (429); other refusals (400 to 499) end at once, a 403 as an answer if `refusals`. With a
+    get that asks for headers only (HEAD), the body is empty."""
+    for n in range(1, tries + 1):
         try:
             status, body = get(url)
         except OSError:
             status, body = 0, ""
-        if status == 200:
-            return body
-        if status in (403, 404):
+        if status == 200 or (refusals and status == 403):
+            return status, body
+        if 400 <= status < 500 and status != 429:
             return None
-        time.sleep(wait * (n + 1))
+        if n < tries:
+            time.sleep((busy if status == 429 else wait) * n)
     return None
 
 
+def fetched(get: Callable[[str], tuple[int, str]], url: str, tries: int = 3, wait: float = 0.0) -> str | None:
+    """The body of a URL, None where there is none."""
+    got = answered(get, url, tries, wait)
+    return got[1] if got else None
+
+
 def repaired_charset(content: bytes, declared: str | None) -> str:
     """Bytes as text: the declared charset, but UTF-8 where none is declared or only the default one and it fits."""
     if declared and declared.lower() not in ("iso-8859-1", "latin-1"):
@@ -38,7 +50,8 @@ def repaired_charset(content: bytes, declared: str | None) -> str:
 
 
 def scrape(urls: DataFrame, get, parse: Callable[[str, str], dict], least: int, parallel: int = 8) -> DataFrame:
-    """(url, title, text, chars) of URLs, each once, with more than `least` characters. get and parse run on the workers."""
+    """(url, title, text, chars, language) of URLs, each once, with more than `least` characters. Where urls has other
+    columns (ord among them), they come along, of each URL those of its smallest `ord`. get and parse run on the workers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -50,8 +63,23 @@ def scrape(urls: DataFrame, get, parse: Callable[[str, str], dict], least: int,
                     rows.append((u, r.get("title"), r.get("text") or ""))
             yield pd.DataFrame(rows, columns=["url", "title", "text"])
 
-    out = urls.select("url").distinct().repartition(parallel).mapInPandas(run, "url string, title string, text string")
-    return out.withColumn("chars", F.length("text").cast("long")).where(F.col("chars") > least)
+    once = keep_first(urls, ["url"], ["ord"]) if "ord" in urls.columns else urls.select("url").distinct()
+    out = once.select("url").repartition(parallel).mapInPandas(run, "url string, title string, text string")
+    out = out.withColumn("chars", F.length("text").cast("long")).where(F.col("chars") > least).withColumn("language", language(F.col("text")))
+    return out.join(once, "url") if len(once.columns) > 1 else out
+
+
+def scrape_onto(urls: DataFrame, path: str, get, parse, least: int, parallel: int = 8) -> int:
+    """Appends what scrape() finds of the URLs that the table at `path` lacks, and says how many rows came; a run that
+    stopped goes on where it was, as each call asks only for what is still missing."""
+    spark = urls.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    before = spark.read.parquet(path).count() if there else 0
+    if there:
+        urls = urls.join(spark.read.parquet(path).select("url"), "url", "left_anti")
+    scrape(urls, get, parse, least, parallel).write.mode("append").parquet(path)
+    return spark.read.parquet(path).count() - before
 
 
 def flat_bindings(body: str) -> list[dict]:

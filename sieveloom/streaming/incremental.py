@@ -19,6 +19,12 @@ def accumulated(known: DataFrame, found: DataFrame, keys: list[str], order: list
     return known.unionByName(keep_first(found.join(known.select(*keys), keys, "left_anti").select(*known.columns), keys, order))
 
 
+def extended(known: DataFrame, found: DataFrame, first: str, last: str, ts: str = "seendate", key: str = "url", by: tuple[str, ...] = ("domain",)) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, totals): what the window of `found` adds to the known URLs, and the counts of old and new rows together."""
+    new = new_rows(known, between(found, ts, first, last), [key]).select(*known.columns)
+    return new, known.select(*by).unionByName(new.select(*by)).groupBy(*by).agg(F.count("*").alias("n"))
+
+
 def sliding(rows: DataFrame, ts: str, days: int) -> DataFrame:
     """The rows of the last `days` days before the newest."""
     last = rows.agg(F.max(ts).alias("__last"))

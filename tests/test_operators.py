@@ -235,6 +235,14 @@ def test_remote(spark):
     urls = spark.createDataFrame([("a",), ("a",), ("bb",)], "url string")
     got = remote.scrape(urls, lambda u: (200, u * 10), lambda u, body: {"title": u, "text": body}, 10).collect()
     assert [(r.url, r.chars) for r in got] == [("bb", 20)]
+    waits = []
+    remote.time.sleep, slept = waits.append, remote.time.sleep
+    try:
+        answers = iter([(429, ""), (500, ""), (200, "ok")])
+        assert remote.answered(lambda u: next(answers), "u", wait=1.0, busy=30.0) == (200, "ok") and waits == [30.0, 2.0]
+    finally:
+        remote.time.sleep = slept
+    assert remote.answered(lambda u: (403, "no"), "u") is None and remote.answered(lambda u: (403, "no"), "u", refusals=True) == (403, "no")
     assert remote.flat_bindings('{"results": {"bindings": [{"a": {"value": "1"}}]}}') == [{"a": "1"}]
     assert len(remote.token_pages(lambda t: ([{"domain": "www.x.it"}, {"domain": "y.it"}], "n"), 3, ("x.it",))) == 3
 
@@ -324,3 +332,11 @@ def test_audit_tables(spark):
     t = catalogue._topics(spark, SF).withColumn("language", F.lit("it"))
     made = audit.audit_tables(t, 12)
     assert len(made) == 11 and all(df.columns for df in made.values()) and {r.kind for r in made["duplicates"].collect()} == {"exact_excerpt", "title_excerpt", "prefix"}
+
+
+def test_scraping_goes_on_where_it_was(spark, tmp_path):
+    path = str(tmp_path / "texts")
+    get, parse = (lambda u: (200, u * 10)), (lambda u, body: {"title": u, "text": body})
+    urls = spark.createDataFrame([(2, "aaa", "late"), (1, "aaa", "early"), (3, "bbb", "x")], "ord long, url string, domain string")
+    assert remote.scrape_onto(urls, path, get, parse, 10) == 2 and remote.scrape_onto(urls, path, get, parse, 10) == 0
+    assert {r.url: (r.domain, r.chars, r.language) for r in spark.read.parquet(path).collect()} == {"aaa": ("early", 30, "unknown"), "bbb": ("x", 30, "unknown")}
