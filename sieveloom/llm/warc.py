@@ -29,19 +29,27 @@ STEPS = (
     (r"(?i)<br[^>]*>|</?(p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer)( [^>]*)?>", "\n"),
     (r"(?s)<[^>]*>", ""),
 )
-#: Entities, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Entities, the ampersand last; those of markup, and the signs and quotation marks that pages write most.
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&copy;", "©"), ("&#169;", "©"), ("&reg;", "®"), ("&trade;", "™"),
+    ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"), ("&laquo;", "«"), ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
+)
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
 TITLE, LANG, LINK = r"(?is)<title[^>]*>(.*?)</title[^>]*>", r"(?i)<html[^>]* lang=\"([^\"]*)\"", r"(?i)<a [^>]*href="
 
 
+def decoded(x: Column) -> Column:
+    for old, new in ENTITIES:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return x
+
+
 def plain(html: Column) -> Column:
     """The text of a page."""
     x = F.coalesce(html, F.lit(""))
     for pattern, to in STEPS:
         x = F.regexp_replace(x, pattern, to)
-    for old, new in ENTITIES:
-        x = F.replace(x, F.lit(old), F.lit(new))
+    x = decoded(x)
     for pattern, to in SPACES:
         x = F.regexp_replace(x, pattern, to)
     return F.btrim(x, F.lit(" \n"))
@@ -74,7 +82,7 @@ def derived(records: DataFrame) -> DataFrame:
     base = records.select(
         "page_id", F.coalesce("record_id", F.lit("")).alias("refers_to"), F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("date", F.lit("")).alias("date"),
         headers.alias("source_headers"), digest(payload).alias("source_digest"), plain(payload).alias("text"), kind.alias("kind"),
-        F.btrim(F.regexp_replace(F.regexp_extract(payload, TITLE, 1), r"[ \t\r\n\f]+", " "), F.lit(" ")).alias("title"), F.regexp_extract(payload, LANG, 1).alias("lang"),
+        F.btrim(F.regexp_replace(decoded(F.regexp_extract(payload, TITLE, 1)), r"[ \t\r\n\f]+", " "), F.lit(" ")).alias("title"), F.regexp_extract(payload, LANG, 1).alias("lang"),
         F.regexp_count(payload, F.lit(LINK)).alias("links"),
     )
     fields = F.concat(F.lit("title: "), F.col("title"), F.lit("\r\nlanguage: "), F.col("lang"), F.lit("\r\noutlinks: "), F.col("links").cast("string"), F.lit("\r\nsource-content-type: "), F.col("kind"), F.lit("\r\n"))
@@ -143,9 +151,13 @@ def oracle_sql(date: str = "1970-01-01T00:00:00Z", content_type: str = "text/htm
             x = f"regexp_replace({x}, {quote(pattern)}, {quote(to) if to != chr(10) else 'chr(10)'}, 'g')"
         return x
 
-    text = each("payload", STEPS)
-    for old, new in ENTITIES:
-        text = f"replace({text}, {quote(old)}, {quote(new)})"
+    def plainly(x):
+        for old, new in ENTITIES:
+            x = f"replace({x}, {quote(old)}, {quote(new)})"
+        return x
+
+    text = plainly(each("payload", STEPS))
+    title = plainly(f"regexp_extract(payload, {quote(TITLE)}, 1)")
     text = f"trim({each(text, SPACES)}, ' ' || chr(10))"
     crlf = "chr(13) || chr(10)"
     name = lambda x: f"'<urn:uuid:' || substr({x},1,8) || '-' || substr({x},9,4) || '-' || substr({x},13,4) || '-' || substr({x},17,4) || '-' || substr({x},21,12) || '>'"
@@ -155,7 +167,7 @@ named as (select *, 'sha256:' || sha256(payload) as source_digest,
   'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: {content_type}' || {crlf} || 'Content-Length: ' || strlen(payload) as source_headers,
   md5(concat_ws(chr(10), 'response', cast(page_id as varchar), target_uri, 'sha256:' || sha256(payload))) as h from src),
 base as (select page_id, {name("h")} as refers_to, target_uri, '{date}' as date, source_headers, source_digest, {text} as text,
-  trim(regexp_replace(regexp_extract(payload, {quote(TITLE)}, 1), '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') as title, regexp_extract(payload, {quote(LANG)}, 1) as lang,
+  trim(regexp_replace({title}, '[ \\t\\r\\n\\f]+', ' ', 'g'), ' ') as title, regexp_extract(payload, {quote(LANG)}, 1) as lang,
   len(regexp_extract_all(payload, {quote(LINK)})) as links from named),
 two as (select *, 'metadata' as record_type, 'application/warc-fields' as content_type,
   'title: ' || title || {crlf} || 'language: ' || lang || {crlf} || 'outlinks: ' || links || {crlf} || 'source-content-type: {content_type}' || {crlf} as content from base

@@ -443,7 +443,7 @@ def test_url_models_keep_every_run(spark):
 
 
 def test_warc_records(spark):
-    html = '<html lang="en"><title> A &amp; B </title><body><p>One<br>two &lt;3</p><script>x("<p>")</script><!-- no --><a href="/x">y</a></body></html>'
+    html = '<html lang="en"><title> A &amp; B </title><body><p>One<br>two &lt;3 &copy;&middot;&amp;copy;</p><script>x("<p>")</script><!-- no --><a href="/x">y</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", html), (2, None, None), (3, "http://b/", ""), (3, "http://b/", "")], "page_id long, url string, html string")
     source = {r["page_id"]: r for r in rows_of(warc.responses(pages))}
     got = rows_of(warc.derived(warc.responses(pages)))
@@ -453,7 +453,7 @@ def test_warc_records(spark):
         assert r["source_digest"] == "sha256:" + hashlib.sha256(source[r["page_id"]]["payload"].encode()).hexdigest()
         assert r["block_digest"] == "sha256:" + hashlib.sha256(r["content"].encode()).hexdigest() and r["n_bytes"] == len(r["content"].encode())
     one = {r["record_type"]: r["content"] for r in got if r["page_id"] == 1}
-    assert one["conversion"] == "One\ntwo <3\ny" and "title: A &amp; B\r\n" in one["metadata"] and "outlinks: 1\r\n" in one["metadata"]
+    assert one["conversion"] == "One\ntwo <3 ©·&copy;\ny" and "title: A & B\r\n" in one["metadata"] and "outlinks: 1\r\n" in one["metadata"]
 
 
 def test_warc_files_round_trip(spark, tmp_path):
@@ -469,6 +469,7 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert {(r.record_type, r.record_id, r.content) for r in back.collect()} == want
     for r in warc.formatted(back).collect():
         (headers, block), = warc.parse(r.warc.encode())
+        assert headers["warc-source-headers"].startswith("HTTP/1.1 200 OK; Content-Type: ")
         assert headers["warc-refers-to"].startswith("<urn:uuid:") and int(headers["content-length"]) == len(block)
 
 
