@@ -16,6 +16,7 @@ extra columns are ignored. Nothing is cut off, however long the page.
 from __future__ import annotations
 
 import gzip
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,19 +30,34 @@ STEPS = (
     (r"(?i)<br[^>]*>|</?(p|div|h[1-6]|li|ul|ol|tr|table|article|section|nav|header|footer)( [^>]*)?>", "\n"),
     (r"(?s)<[^>]*>", ""),
 )
-#: Entities, the ampersand last; those of markup, and the signs and quotation marks that pages write most.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&copy;", "©"), ("&#169;", "©"), ("&reg;", "®"), ("&trade;", "™"),
-    ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&euro;", "€"), ("&laquo;", "«"), ("&raquo;", "»"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-)
+#: Characters by the names that HTML 4 gives them, from Python's table, and the apostrophe.
+ENTITIES = {name: chr(point) for name, point in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
+#: The entities that most pages have are replaced in whole texts; none of them makes a new ampersand.
+COMMON = ("lt", "gt", "quot", "nbsp", "copy", "middot")
 SPACES = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"))
 TITLE, LANG, LINK = r"(?is)<title[^>]*>(.*?)</title[^>]*>", r"(?i)<html[^>]* lang=\"([^\"]*)\"", r"(?i)<a [^>]*href="
 
 
 def decoded(x: Column) -> Column:
-    for old, new in ENTITIES:
-        x = F.replace(x, F.lit(old), F.lit(new))
-    return x
+    """Named and numbered entities as characters, each once, so that &amp;lt; becomes &lt;; others stay. Numbers that
+    name no character stay too; the no-break space becomes a space."""
+    names = F.create_map(*[F.lit(v) for pair in ENTITIES.items() for v in pair])
+
+    def one(p, i):
+        name = F.substring_index(p, ";", 1)
+        number = F.when(name.rlike(r"^#[0-9]{1,7}$"), F.substring(name, 2, 7).cast("int")).when(name.rlike(r"^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10).cast("int"))
+        number = F.when((number > 0) & (number < 0xD800) | (number > 0xDFFF) & (number <= 0x10FFFF), number)
+        point = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        char = F.when(F.contains(p, F.lit(";")), F.when(F.startswith(p, F.lit("#")), F.when(number == 160, " ").otherwise(point)).otherwise(F.try_element_at(names, name)))
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
+        return F.when(i == 0, p).when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), p))
+
+    for name in COMMON:
+        x = F.replace(x, F.lit(f"&{name};"), F.lit(ENTITIES[name]))
+    x = F.replace(x, F.lit("&#39;"), F.lit("'"))
+    rare = lambda v: v.rlike("&(?!amp;)[A-Za-z#][A-Za-z0-9]{1,8};")
+    whole = lambda v: F.when(rare(v), F.array_join(F.transform(F.split(v, "&"), one), "")).otherwise(F.replace(v, F.lit("&amp;"), F.lit("&")))
+    return F.get(F.transform(F.array(x), whole), 0)  # a lambda's argument is computed once
 
 
 def plain(html: Column) -> Column:
@@ -151,10 +167,14 @@ def oracle_sql(date: str = "1970-01-01T00:00:00Z", content_type: str = "text/htm
             x = f"regexp_replace({x}, {quote(pattern)}, {quote(to) if to != chr(10) else 'chr(10)'}, 'g')"
         return x
 
+    known = "map {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in ENTITIES.items()) + "}"
+
     def plainly(x):
-        for old, new in ENTITIES:
-            x = f"replace({x}, {quote(old)}, {quote(new)})"
-        return x
+        name = "split_part(p, ';', 1)"
+        number = f"case when regexp_full_match({name}, '#[0-9]{{1,7}}') then cast(substr({name}, 2) as integer) when regexp_full_match({name}, '#[xX][0-9a-fA-F]{{1,6}}') then cast('0x' || substr({name}, 3) as integer) end"
+        point = f"case when {number} = 160 then ' ' when {number} between 1 and 55295 or {number} between 57344 and 1114111 then chr({number}) end"
+        char = f"case when contains(p, ';') then case when p[1] = '#' then {point} else {known}[{name}] end end"
+        return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: case when i = 1 then p else coalesce({char} || substr(p, length({name}) + 2), '&' || p) end), '')"
 
     text = plainly(each("payload", STEPS))
     title = plainly(f"regexp_extract(payload, {quote(TITLE)}, 1)")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sieveloom.llm import bpe, common, decontam, embdup, licenses, neardup, quality, substring, toxicity, urls, warc
 from tests.llm import helpers as h
@@ -456,6 +457,16 @@ def test_warc_records(spark):
     assert one["conversion"] == "One\ntwo <3 ©·&copy;\ny" and "title: A & B\r\n" in one["metadata"] and "outlinks: 1\r\n" in one["metadata"]
 
 
+def test_entities_are_decoded_once(spark):
+    texts = {
+        "a &amp;lt; b &lt;": "a &lt; b <", "&eacute;&#233;&#xE9;&#x1F600;": "éééé"[:3] + "\U0001f600", "&nosuch; & x &;": "&nosuch; & x &;", "&#0;&#55296;&#1114112;&#x110000;": "&#0;&#55296;&#1114112;&#x110000;",
+        "&copy 1; &hearts;": "&copy 1; ♥", "&nbsp;&#160;|": "  |", "": "", "no entity; here": "no entity; here", "&": "&", "&amp": "&amp",
+    }
+    rows = spark.createDataFrame([(k,) for k in texts], "t string")
+    got = {r.t: r.d for r in rows.select("t", warc.decoded(F.col("t")).alias("d")).collect()}
+    assert got == texts
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (2, "http://b/", "<p>é</p>")], "page_id long, url string, html string")
     body = b""
