@@ -355,13 +355,13 @@ def _assembled(docs, path, id_col, text_col, block_bytes, digest):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), n, pa.array(coded, pa.binary()), pa.array(plain, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = texts.mapInArrow(words, "word binary, block long, place int")
+    one = texts.mapInArrow(c.lean(words), "word binary, block long, place int")
     one = one.repartition(shuffles, "word").sortWithinPartitions("word")
     schema = "block long, part int, blob binary, n long, a array<long>, b array<long>"
-    both = one.mapInArrow(encode, schema).union(texts.mapInArrow(places, schema))
+    both = one.mapInArrow(c.lean(encode), schema).union(texts.mapInArrow(c.lean(places), schema))
     both = both.repartition(shuffles, "block").sortWithinPartitions("block", F.col("part").desc())
     kind = "ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
-    return both.mapInArrow(assemble, f"doc_id long, n_tokens long, {kind}")
+    return both.mapInArrow(c.lean(assemble), f"doc_id long, n_tokens long, {kind}")
 
 
 def _dictionary(pieces: list) -> tuple[np.ndarray, np.ndarray]:

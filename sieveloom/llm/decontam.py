@@ -208,7 +208,7 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col: str =
                 cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["doc_id", "item_id", "distance", "end"])
 
-        part = own.mapInArrow(run, "doc_id long, item_id long, distance long, end long")
+        part = own.mapInArrow(c.lean(run), "doc_id long, item_id long, distance long, end long")
         out = part if out is None else out.union(part)
     return out
 
@@ -225,5 +225,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, item_i
                 keep[[t for t, *_ in index.value.search([folded(t) for t in b.column(at).to_pylist()])]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(c.lean(run), schema)
     return docs

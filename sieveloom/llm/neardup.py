@@ -109,7 +109,7 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
 
     c.ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n long, key binary, regs binary")
+    return texts.mapInArrow(c.lean(run), "doc_id long, n long, key binary, regs binary")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -123,7 +123,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 sets[i] = s.tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(c.lean(run), "id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +168,9 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFr
     sets = c.cut(full_sets(wanted, k))
     c.release(spark)
     known = classes.select("id", "n", "regs")
-    first = c.components(_stars(members, known, sets, percent))
-    second = _rest(members, known, sets, first, percent)
+    # links are written out, so that no task has one Python worker to confirm them and another one to contract them
+    first = c.components(c.cut(_stars(members, known, sets, percent)))
+    second = c.cut(_rest(members, known, sets, first, percent))
     return c.components(first.unionByName(second))
 
 
@@ -185,7 +186,7 @@ def _stars(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int)
 
     pairs = members.where("id != centre and size > 2").select("id", "centre").distinct()
     pairs = pairs.join(known.select("id", F.col("regs").alias("x"), "n"), "id").join(known.select(F.col("id").alias("centre"), F.col("regs").alias("y"), F.col("n").alias("m")), "centre")
-    pairs = pairs.select("id", "centre", "x", "n", "y", "m").mapInArrow(estimate, "id long, centre long, agree double")
+    pairs = pairs.select("id", "centre", "x", "n", "y", "m").mapInArrow(c.lean(estimate), "id long, centre long, agree double")
     best = c.cut(pairs.groupBy("id").agg(F.max_by("centre", F.struct("agree", -F.col("centre"))).alias("centre")))
     # a centre meets its members in units of at most about BLOCK; of each unit only the centre's set is held
     units = best.groupBy("centre").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("m"))
@@ -205,7 +206,7 @@ def _stars(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int)
                     z.append(centre)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["node", "component"])
 
-    return rows.select("id", "centre", "kind", "shingles").mapInArrow(confirm, "node long, component long")
+    return rows.select("id", "centre", "kind", "shingles").mapInArrow(c.lean(confirm), "node long, component long")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -283,7 +284,7 @@ def _rest(members: DataFrame, known: DataFrame, sets: DataFrame, groups: DataFra
 
     names = list(units.columns)
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-    left = c.cut(sketch.mapInArrow(look, "id long, component long, own int, band int, kind int, bucket long, x int, y int"))
+    left = c.cut(sketch.mapInArrow(c.lean(look), "id long, component long, own int, band int, kind int, bucket long, x int, y int"))
     c.release(members.sparkSession)
     full = c.dealt(left.join(known, "id").join(sets, "id").select(*units.columns, "n", "regs", "shingles"), sets, *UNIT).sortWithinPartitions(*UNIT)
 
@@ -302,7 +303,7 @@ def _rest(members: DataFrame, known: DataFrame, sets: DataFrame, groups: DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["node", "component"])
 
-    return full.mapInArrow(confirm, "node long, component long")
+    return full.mapInArrow(c.lean(confirm), "node long, component long")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -97,7 +97,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), values], names=["doc_id", "x"])
 
     c.ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(c.lean(run), "doc_id long, x array<double>")
 
 
 class Discriminant:
@@ -162,7 +162,7 @@ def moments(x: DataFrame, labels: DataFrame, label: str) -> dict:
                 [pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([np.concatenate([s, o.ravel()]).tolist()], pa.list_(pa.float64()))], names=["y", "n", "m"]
             )
 
-    parts = x.join(y, "doc_id").select("y", "x").mapInArrow(run, "y int, n long, m array<double>")
+    parts = x.join(y, "doc_id").select("y", "x").mapInArrow(c.lean(run), "y int, n long, m array<double>")
     sums = parts.groupBy("y").agg(F.sum("n").alias("n"), *[F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(d + d * d)])
     return {r.y: (r.n, np.array(r[2 : 2 + d]), np.array(r[2 + d :])) for r in sums.collect()}
 
@@ -177,15 +177,16 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", thresho
             xs = np.asarray(b.column(1).flatten()).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(xs))], names=["doc_id", "score"])
 
-    scored = x.mapInArrow(run, "doc_id long, score double")
+    scored = x.mapInArrow(c.lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, whose score reaches the threshold.
 
-    The model is fitted first; then each text is scored where it is read, so that no text is shuffled."""
-    model = Discriminant(moments(features(docs), labels, "quality"))
+    The model is fitted first; then each text is scored where it is read, so that no text is shuffled. The statistics are
+    written out before: else a task has one Python worker for them and another one for the moments."""
+    model = Discriminant(moments(c.cut(features(docs)), labels, "quality"))
     at, schema = docs.columns.index("text"), docs.schema
 
     def run(batches):
@@ -194,4 +195,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
             yield b.filter(pa.array(keep))
 
     c.ship(docs.sparkSession)
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(c.lean(run), schema)

@@ -99,7 +99,7 @@ def anchors(texts: DataFrame) -> DataFrame:
             who, places = _known(i[rest], p[rest])
             yield _rows(("hash", "id", "place", "n", "known"), (c.signed(h[first]), i[first], p[first], n), (c.signed(c.mix(who.view(np.uint64))), who, np.full(len(who), 2)), places)
 
-    return texts.mapInArrow(run, "hash long, id long, place int, n int, known array<int>")
+    return texts.mapInArrow(c.lean(run), "hash long, id long, place int, n int, known array<int>")
 
 
 def _rows(names, some, spread, places) -> pa.RecordBatch:
@@ -150,7 +150,7 @@ def windows(texts: DataFrame) -> DataFrame:
             who, known = _known(i[rest], p[rest])
             yield _rows(("h1", "id", "place", "h2", "known"), (c.signed(x[first]), i[first], p[first], y[first]), (c.signed(c.mix(who.view(np.uint64))), who, np.full(len(who), -1)), known)
 
-    return texts.mapInArrow(run, "h1 long, id long, place int, h2 int, known array<int>")
+    return texts.mapInArrow(c.lean(run), "h1 long, id long, place int, h2 int, known array<int>")
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = _joined(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), "__places", "__known")
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(c.lean(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
@@ -241,4 +241,4 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 arrays[size] = pa.array([n if t is r or t == r else len(t) for t, r, n in zip(out, raw, arrays[size].to_pylist(), strict=True)], b.schema.field(size).type)
             yield pa.RecordBatch.from_arrays(arrays, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return _joined(docs, "doc_id", "text").select(*[F.col(f"`{x}`") for x in names], "__places", "__known").mapInArrow(run, schema)
+    return _joined(docs, "doc_id", "text").select(*[F.col(f"`{x}`") for x in names], "__places", "__known").mapInArrow(c.lean(run), schema)

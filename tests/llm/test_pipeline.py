@@ -1,8 +1,13 @@
 import base64
 import hashlib
+import os
 import random
+import re
+import uuid
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as p
@@ -128,3 +133,50 @@ def test_pipeline_over_an_empty_table_and_clashing_names(spark, tmp_path):
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+@pytest.fixture
+def own_workers(spark, monkeypatch):
+    """Python workers that no other test has used; gives a function for the MB that each of them holds when idle."""
+    if not Path("/proc/self/smaps_rollup").exists():
+        pytest.skip("memory is read from /proc")
+    monkeypatch.setitem(spark.sparkContext.environment, "OWN_WORKERS", uuid.uuid4().hex)
+
+    def parent(batches):
+        rows = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([os.getppid()] * rows, pa.int64())], names=["pid"])
+
+    def held():
+        daemon = spark.range(0, 1, 1, 1).mapInArrow(parent, "pid long").collect()[0].pid
+        out = []
+        for own in Path("/proc").glob("[0-9]*"):
+            try:
+                if int((own / "stat").read_text().rsplit(")", 1)[1].split()[1]) == daemon:
+                    out.append(sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", (own / "smaps_rollup").read_text()))) / 1024)
+            except OSError:
+                pass
+        return out
+
+    return held
+
+
+def test_a_core_has_one_python_worker(spark, tmp_path, own_workers):
+    rows = [r[:5] for r in h.corpus(n=80, seed=5)]
+    labels = [(r[0], i % 2, 0) for i, r in enumerate(rows) if r[0] is not None]
+    d = written(spark, tmp_path, rows, labels, [(1, "one two three four")])
+    docs = spark.read.parquet(f"{d}/documents.parquet").repartition(4)
+    for stage in (p.quality_classifier, p.near_dedup):
+        stage(spark, docs, d).count()
+    assert 1 <= len(own_workers()) <= 4
+
+
+def test_idle_workers_give_their_memory_back(spark, own_workers):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([5, 50, 300, 900]))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs = docs.crossJoin(spark.range(100).select()).repartition(2)
+    idle = max(own_workers())
+    assert quality.features(docs).where("size(x) > 0").count() == 40_000
+    held = max(own_workers())
+    assert held < idle + 25
