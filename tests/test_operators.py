@@ -349,3 +349,14 @@ def test_scraping_goes_on_where_it_was(spark, tmp_path):
     urls = spark.createDataFrame([(2, "aaa", "late"), (1, "aaa", "early"), (3, "bbb", "x")], "ord long, url string, domain string")
     assert remote.scrape_onto(urls, path, get, parse, 10) == 2 and remote.scrape_onto(urls, path, get, parse, 10) == 0
     assert {r.url: (r.domain, r.chars, r.language) for r in spark.read.parquet(path).collect()} == {"aaa": ("early", 30, "unknown"), "bbb": ("x", 30, "unknown")}
+
+
+def test_term_rows_are_dealt_by_block(spark):
+    """Odd texts and more blocks than documents; a document's rows are never exchanged by term."""
+    docs = spark.createDataFrame([(1, "a bb ccc bb"), (2, "bb Ccc"), (3, None), (4, ""), (5, "ccc bb é1")], "ord long, text string")
+    assert {r.term: r.df for r in topics.term_totals(docs).collect()} == {"bb": 3, "ccc": 3, "bb ccc": 2, "ccc bb": 2, "e1": 1, "bb e1": 1}
+    w = topics.weights(docs, 5, 1, 1.0)
+    rows = {(r.ord, r.term): r.w for r in w.collect()}
+    assert len(rows) == 4 + 3 + 5 and abs(sum(x * x for (i, _), x in rows.items() if i == 1) - 1) < 1e-9
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window") == 1
