@@ -360,3 +360,14 @@ def test_term_rows_are_dealt_by_block(spark):
     assert len(rows) == 4 + 3 + 5 and abs(sum(x * x for (i, _), x in rows.items() if i == 1) - 1) < 1e-9
     plan = w._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("Window") == 1
+
+
+def test_nmf_against_plain_updates(spark):
+    """The same losses as the updates written out; a pass over packed rows for each round, no join by document or term."""
+    import numpy as np
+
+    a = np.array([[(i * j) % 3 + (i % 2 == j % 2) for j in range(7)] for i in range(9)], float)
+    df = spark.createDataFrame([(i * 10, f"t{j}", float(a[i, j])) for i in range(9) for j in range(7) if a[i, j]], "ord long, term string, w double")
+    w, h, loss = topics.nmf(df, 3, rounds=4)
+    w, h = np.array([r.weights for r in w.orderBy("ord").collect()]), np.array([r.weights for r in h.orderBy("term").collect()])
+    assert abs(((a - w @ h.T) ** 2).sum() - loss[-1]) < 1e-8
