@@ -127,5 +127,5 @@ def template_report(docs: DataFrame, domains: int = 20, lines: int = 10, limits:
 
 def language_changes(docs: DataFrame) -> DataFrame:
     """(language, detected, n): what the check of languages would change, rows of unknown language left as they are."""
-    detected = X.language(F.col("text"))
-    return docs.groupBy("language", F.when(detected == "unknown", F.col("language")).otherwise(detected).alias("detected")).agg(F.count("*").alias("n"))
+    detected = X.once(X.language(F.col("text")), lambda d: F.when(d == "unknown", F.col("language")).otherwise(d))
+    return docs.groupBy("language", detected.alias("detected")).agg(F.count("*").alias("n"))

@@ -371,3 +371,13 @@ def test_nmf_against_plain_updates(spark):
     w, h, loss = topics.nmf(df, 3, rounds=4)
     w, h = np.array([r.weights for r in w.orderBy("ord").collect()]), np.array([r.weights for r in h.orderBy("term").collect()])
     assert abs(((a - w @ h.T) ** 2).sum() - loss[-1]) < 1e-8
+
+
+def _plan(spark, name):
+    from sieveloom.plans import catalogue
+
+    return catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_languages_are_told_once(spark):
+    assert _plan(spark, "language_changes").count("[^\\p{L}]+") == 1
