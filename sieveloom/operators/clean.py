@@ -64,11 +64,14 @@ def without_templates(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     raw = F.split(F.coalesce("text", F.lit("")), r"\r\n|[\n\r]")
 
     def stays(x):
-        line = X.line_form(x)
-        return ~((F.length(line) >= 3) & F.array_contains("out", line))
+        return X.once(X.line_form(x), lambda line: ~((F.length(line) >= 3) & F.array_contains("out", line)))
 
-    rows = rows.withColumn("out", out).withColumn("raw", raw).withColumn("kept", F.when(F.size("out") > 0, F.filter("raw", stays)).otherwise(F.col("raw")))
-    text = F.regexp_replace(F.array_join("kept", "\n"), r"^\s+|\s+$", "")
+    def here(c):
+        """No filter is pushed below: the column would be worked out again there."""
+        return F.when(F.spark_partition_id() >= 0, c)
+
+    rows = rows.withColumn("out", out).withColumn("raw", here(raw)).withColumn("kept", here(F.when(F.size("out") > 0, F.filter("raw", stays)).otherwise(F.col("raw"))))
+    text = here(F.regexp_replace(F.array_join("kept", "\n"), r"^\s+|\s+$", ""))
     return rows.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], (F.size("raw") - F.size("kept")).cast("long").alias("removed"))
 
 
@@ -88,7 +91,8 @@ def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Encoding, templates, length, copies, language, in this order; `removed` counts the lines taken out."""
     out = docs.withColumn("text", X.repaired(F.coalesce(F.col("text"), F.lit(""))))
     out = long_enough(without_templates(out, limits), limits.least_chars)
-    kept, _ = text_copies(out)
+    # a rank, not a join with the first of each text: the join would read and strip all texts twice
+    kept = keep_first(out.withColumn("mark", X.fingerprint(F.col("text"))), ["mark"], ["ord"]).drop("mark")
     return kept.withColumn("detected", X.language(F.col("text"))).withColumn("chars", F.length("text").cast("long"))
 
 

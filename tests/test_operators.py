@@ -381,3 +381,17 @@ def _plan(spark, name):
 
 def test_languages_are_told_once(spark):
     assert _plan(spark, "language_changes").count("[^\\p{L}]+") == 1
+
+
+def test_cleaning_strips_texts_once(spark):
+    """No join with the first copies, no filter on lengths below the strip: either would strip the texts again."""
+    assert _plan(spark, "clean_pipeline").count("sha1(") == 1
+
+
+def test_strip_forms_a_line_once(spark):
+    from sieveloom.operators import clean
+    from sieveloom.schema import corpus as records
+
+    docs = records(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    top = clean.without_templates(docs).select("text")._jdf.queryExecution().optimizedPlan().toString().split("array_contains")
+    assert len(top) == 2 and "translate" not in top[1].split("Join")[0].split("\n")[0]
